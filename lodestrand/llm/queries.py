@@ -34,7 +34,7 @@ LINES_SQL = """
 WITH l AS (
   SELECT DISTINCT doc_id, chunk_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL AND text IS NOT NULL),
-k AS (SELECT doc_id, chunk_id, text, line, line_no, lower(upper(regexp_replace(line, '[^\\p{L}]+', '', 'g'))) AS letters FROM l),
+k AS (SELECT doc_id, chunk_id, text, line, line_no, replace(lower(regexp_replace(line, '[^\\p{L}]+', '', 'g')), 'ß', 'ss') AS letters FROM l),
 f AS (SELECT doc_id, letters, count(DISTINCT chunk_id) AS n FROM k WHERE letters <> '' GROUP BY ALL HAVING n >= 6)
 """
 

@@ -27,9 +27,9 @@ MAX_LENGTH = 4
 def line_key(line: Column) -> Column:
     """A line's identifier: its letters in order, apart from case. NULL if it has none.
 
-    The hash has 64 bits. Upper before lower case folds letters such as the sharp s.
+    The hash has 64 bits. The sharp s counts as its capital form, ss.
     """
-    letters = F.lower(F.upper(F.regexp_replace(line, r"[^\p{L}]+", "")))
+    letters = F.replace(F.lower(F.regexp_replace(line, r"[^\p{L}]+", "")), F.lit("ß"), F.lit("ss"))
     return F.when(F.length(letters) > 0, F.xxhash64(letters))
 
 
