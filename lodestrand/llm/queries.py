@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import repeated_lines
+from lodestrand.llm import consensus, multiselect, repeated_lines
 from lodestrand.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,43 @@ def p1_line_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return patterns.groupBy(F.col("source").alias("doc_id"), "length").agg(F.count("*").alias("sequences"), F.max("support").alias("most_chunks"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.unreliable(table(spark, folder, "labels")).select(F.col("rater").alias("labeler"))
+
+
+def p2_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.consensus(table(spark, folder, "labels")).withColumnRenamed("item", "example_id")
+
+
+def p2_reliability(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.reliability(table(spark, folder, "labels"))[2].withColumnRenamed("rater", "labeler")
+
+
+def p2_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.agreement(table(spark, folder, "labels")).withColumns({c: F.round(c, 9) for c in ("alpha_interval", "alpha_nominal")})
+
+
+def _latencies(spark: SparkSession, folder: str) -> DataFrame:
+    return multiselect.measurements(table(spark, folder, "metrics", "request_id", "source", "ts", "provider", "pipeline", "latency_s", "ingest_seq"))
+
+
+def p3_latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    exact = multiselect.percentiles(_latencies(spark, folder), ("provider", "pipeline"))
+    return exact.withColumn("rank_error", F.lit(0))
+
+
+def p3_daily_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return multiselect.summaries(_latencies(spark, folder), ("provider", "pipeline", "day"))
+
+
+def p3_combined_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of all days from the days' summaries, with bounds that hold the exact value."""
+    days = multiselect.summaries(_latencies(spark, folder), ("provider", "pipeline", "day"))
+    out = multiselect.combined(days, ("provider", "pipeline"))
+    error = multiselect.ERROR
+    return out.withColumns({"estimate": F.round("estimate", 6), "least": F.round(F.col("estimate") / (1 + error), 6), "most": F.round(F.col("estimate") / (1 - error), 6)})
+
+
 #: SQL for "the letters of a line, apart from case", and the repeated lines by it.
 LINES_SQL = """
 WITH l AS (
@@ -49,13 +86,67 @@ FROM k LEFT JOIN f USING (doc_id, letters) GROUP BY k.chunk_id, k.doc_id, k.text
 """
 )
 
+P2_AGREEMENT_SQL = """
+WITH d AS (SELECT DISTINCT example_id AS item, lower(trim(labeler)) AS rater, faithfulness, relevance, citation_accuracy FROM labels
+           WHERE example_id IS NOT NULL AND lower(trim(labeler)) <> ''),
+u AS (SELECT item, rater, 'faithfulness' AS dimension, faithfulness AS score FROM d UNION ALL SELECT item, rater, 'relevance', relevance FROM d
+      UNION ALL SELECT item, rater, 'citation_accuracy', citation_accuracy FROM d),
+v AS (SELECT item, rater, dimension, score FROM (
+        SELECT item, rater, dimension, score, row_number() OVER (PARTITION BY item, rater, dimension ORDER BY n DESC, score) AS r
+        FROM (SELECT item, rater, dimension, score, count(*) AS n FROM u WHERE score BETWEEN 1 AND 5 GROUP BY ALL)) WHERE r = 1),
+m AS (SELECT *, count(*) OVER (PARTITION BY item, dimension) AS m FROM v QUALIFY m > 1),
+pairs AS (SELECT a.dimension, sum((a.score - b.score) ** 2 / (a.m - 1.0)) AS d, sum((a.score <> b.score)::INT / (a.m - 1.0)) AS o
+          FROM m a JOIN m b ON a.item = b.item AND a.dimension = b.dimension AND a.rater <> b.rater GROUP BY 1),
+c AS (SELECT dimension, score, count(*) AS c FROM m GROUP BY ALL),
+e AS (SELECT a.dimension, sum(a.c * b.c * (a.score - b.score) ** 2) AS d, sum(a.c * b.c * (a.score <> b.score)::INT) AS o FROM c a JOIN c b USING (dimension) GROUP BY 1),
+n AS (SELECT dimension, count(DISTINCT item) AS items, count(*) AS ratings FROM m GROUP BY 1)
+SELECT dimension, items, ratings, round(1 - (ratings - 1) * pairs.d / e.d, 9) AS alpha_interval, round(1 - (ratings - 1) * pairs.o / e.o, 9) AS alpha_nominal
+FROM n JOIN pairs USING (dimension) JOIN e USING (dimension)
+"""
+
+LATENCIES_SQL = """
+WITH l AS (SELECT provider, pipeline, latency_s, ts, row_number() OVER (PARTITION BY request_id, source ORDER BY ingest_seq DESC) AS r FROM metrics),
+x AS (SELECT lower(trim(provider)) AS provider, coalesce(pipeline, 'vanilla') AS pipeline, CAST(ts AT TIME ZONE 'UTC' AS DATE) AS day, latency_s AS v FROM l
+      WHERE r = 1 AND latency_s IS NOT NULL AND NOT isnan(latency_s) AND latency_s >= 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY provider, pipeline ORDER BY v) AS k, count(*) OVER (PARTITION BY provider, pipeline) AS n FROM x),
+p AS (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS percentile)
+"""
+
+P3_SQL = LATENCIES_SQL + """
+SELECT provider, pipeline, percentile, v AS value, n AS "values", 0 AS rank_error FROM n, p WHERE k = greatest(ceil(round(percentile * n, 6)), 1)
+"""
+
+P3_DAILY_SQL = LATENCIES_SQL + """
+SELECT provider, pipeline, day, CASE WHEN v > 0 THEN ceil(round(ln(v) / ln(1.01 / 0.99), 9))::INT END AS bucket, count(*) AS "values" FROM x GROUP BY ALL
+"""
+
+P3_COMBINED_SQL = LATENCIES_SQL + """
+, e AS (SELECT provider, pipeline, percentile, n AS "values", CASE WHEN v = 0 THEN 0 ELSE 2 * pow(1.01 / 0.99, ceil(round(ln(v) / ln(1.01 / 0.99), 9))) / (1.01 / 0.99 + 1) END AS estimate
+  FROM n, p WHERE k = greatest(ceil(round(percentile * n, 6)), 1))
+SELECT provider, pipeline, percentile, "values", round(estimate, 6) AS estimate, round(estimate / 1.01, 6) AS least, round(estimate / 0.99, 6) AS most FROM e
+"""
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_clean_chunks": p1_clean_chunks,
     "p1_line_sequences": p1_line_sequences,
+    "p2_found": p2_found,
+    "p2_consensus": p2_consensus,
+    "p2_reliability": p2_reliability,
+    "p2_agreement": p2_agreement,
+    "p3_latency_percentiles": p3_latency_percentiles,
+    "p3_daily_summaries": p3_daily_summaries,
+    "p3_combined_percentiles": p3_combined_percentiles,
 }
 
-SQL = {"p1_found": P1_FOUND_SQL, "p1_clean_chunks": P1_CLEAN_SQL}
+SQL = {
+    "p1_found": P1_FOUND_SQL,
+    "p1_clean_chunks": P1_CLEAN_SQL,
+    "p2_agreement": P2_AGREEMENT_SQL,
+    "p3_latency_percentiles": P3_SQL,
+    "p3_daily_summaries": P3_DAILY_SQL,
+    "p3_combined_percentiles": P3_COMBINED_SQL,
+}
 
 
 def queries() -> dict[str, Query]:
