@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import consensus, multiselect, repeated_lines
+from lodestrand.llm import consensus, multiselect, pairs, repeated_lines, splitting
 from lodestrand.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,31 @@ def p3_combined_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({"estimate": F.round("estimate", 6), "least": F.round(F.col("estimate") / (1 + error), 6), "most": F.round(F.col("estimate") / (1 - error), 6)})
 
 
+def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks", "chunk_id", "text", "char_start")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(_chunk_texts(spark, folder), with_text=False).where("piece_no > 0").select("chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(_chunk_texts(spark, folder))
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.pairs_of(table(spark, folder, "v2"), table(spark, folder, "canary_defended"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_pairs(spark, folder))
+
+
+def p5_clause_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    tagged = pairs.tagged(_pairs(spark, folder))
+    return tagged.select("defect", F.explode(F.arrays_zip("tags", "words")).alias("c")).groupBy("defect", F.col("c.tags").alias("tag")).agg(F.count("*").alias("clauses"), F.sum("c.words").alias("words"))
+
+
 #: SQL for "the letters of a line, apart from case", and the repeated lines by it.
 LINES_SQL = """
 WITH l AS (
@@ -126,6 +151,10 @@ P3_COMBINED_SQL = LATENCIES_SQL + """
 SELECT provider, pipeline, percentile, "values", round(estimate, 6) AS estimate, round(estimate / 1.01, 6) AS least, round(estimate / 0.99, 6) AS most FROM e
 """
 
+P4_FOUND_SQL = r"""
+SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 768 AND len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\p{C}]')) > 768
+"""
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_clean_chunks": p1_clean_chunks,
@@ -137,6 +166,10 @@ QUERIES: dict[str, Query] = {
     "p3_latency_percentiles": p3_latency_percentiles,
     "p3_daily_summaries": p3_daily_summaries,
     "p3_combined_percentiles": p3_combined_percentiles,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_clause_coverage": p5_clause_coverage,
 }
 
 SQL = {
@@ -146,6 +179,7 @@ SQL = {
     "p3_latency_percentiles": P3_SQL,
     "p3_daily_summaries": P3_DAILY_SQL,
     "p3_combined_percentiles": P3_COMBINED_SQL,
+    "p4_found": P4_FOUND_SQL,
 }
 
 
