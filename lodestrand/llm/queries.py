@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import consensus, multiselect, pairs, repeated_lines, splitting
+from lodestrand.llm import consensus, leakage, multiselect, packing, pairs, repeated_lines, splitting
 from lodestrand.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,34 @@ def p5_clause_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return tagged.select("defect", F.explode(F.arrays_zip("tags", "words")).alias("c")).groupBy("defect", F.col("c.tags").alias("tag")).agg(F.count("*").alias("clauses"), F.sum("c.words").alias("words"))
 
 
+def _containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents", "doc_id", "text")).withColumn("doc_id", F.col("id").cast("long")).drop("id")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _containers(spark, folder)
+
+
+def p6_container_texts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return packing.container_texts(documents, packing.containers(documents))
+
+
+def _leak_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "testitems", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.repeated_runs(*_leak_tables(spark, folder))
+    return found.select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"))
+
+
+def p7_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies, edited and paraphrased too: alignments that reach half of what a full copy would score."""
+    found = leakage.leaks(*_leak_tables(spark, folder)).where(F.col("score") >= 0.5 * leakage.MATCH * F.col("words"))
+    return found.select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "score", "span", "run", "words")
+
+
 #: SQL for "the letters of a line, apart from case", and the repeated lines by it.
 LINES_SQL = """
 WITH l AS (
@@ -170,6 +198,10 @@ QUERIES: dict[str, Query] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_clause_coverage": p5_clause_coverage,
+    "p6_containers": p6_containers,
+    "p6_container_texts": p6_container_texts,
+    "p7_found": p7_found,
+    "p7_alignments": p7_alignments,
 }
 
 SQL = {
