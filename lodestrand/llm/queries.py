@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import consensus, leakage, multiselect, packing, pairs, repeated_lines, splitting
+from lodestrand.llm import consensus, leakage, multiselect, packing, pairs, repeated_lines, splitting, truncation
 from lodestrand.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,15 @@ def p7_alignments(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "score", "span", "run", "words")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "source", "text")
+    return truncation.cut_texts(documents).select(F.col("id").cast("long").alias("doc_id"))
+
+
+def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.rates(table(spark, folder, "documents", "doc_id", "source", "text"))
+
+
 #: SQL for "the letters of a line, apart from case", and the repeated lines by it.
 LINES_SQL = """
 WITH l AS (
@@ -202,6 +211,8 @@ QUERIES: dict[str, Query] = {
     "p6_container_texts": p6_container_texts,
     "p7_found": p7_found,
     "p7_alignments": p7_alignments,
+    "p8_found": p8_found,
+    "p8_source_rates": p8_source_rates,
 }
 
 SQL = {
