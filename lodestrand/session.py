@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,9 @@ DEFAULTS = {
 }
 
 
+_SHIPPED: dict[str, str] = {}
+
+
 def build_session(app: str = "lodestrand", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; `conf` wins over them, dots written as `__`."""
     builder = SparkSession.builder.appName(app).config(map=DEFAULTS)
@@ -32,6 +36,18 @@ def build_session(app: str = "lodestrand", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that they need no install of it."""
+    context = spark.sparkContext
+    if _SHIPPED.get("application") == context.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lodestrand-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/lodestrand", "zip", package.parent, package.name))
+    _SHIPPED["application"] = context.applicationId
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` where the cluster names one.
 
