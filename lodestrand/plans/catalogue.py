@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrand.plans import ledger
 from lodestrand.sources.tables import table
 
+AREAS = (ledger,)
+
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks", "chunk_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for area in AREAS for name, query in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for area in AREAS for name, sql in area.SQL.items()}
