@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import ledger
-from lodestrand.sources.tables import table
+from lodestrand.plans import ledger, search
 
-AREAS = (ledger,)
+AREAS = (ledger, search)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks", "chunk_id")
+    return search.search_bm25(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
