@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import ledger, search
+from lodestrand.plans import guard, ledger, search
 
-AREAS = (ledger, search)
+AREAS = (ledger, search, guard)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
