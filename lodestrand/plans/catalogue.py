@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import guard, ledger, search
+from lodestrand.plans import corpus, guard, ledger, search
 
-AREAS = (ledger, search, guard)
+AREAS = (ledger, search, guard, corpus)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
