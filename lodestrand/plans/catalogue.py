@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import corpus, guard, ledger, search
+from lodestrand.plans import corpus, guard, ledger, search, streaming
 
-AREAS = (ledger, search, guard, corpus)
+AREAS = (ledger, search, guard, corpus, streaming)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
