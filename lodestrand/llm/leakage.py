@@ -148,9 +148,8 @@ def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
     x = np.array([code.setdefault(w, len(code)) for w in a])
     y = np.array([code.setdefault(w, len(code)) for w in b])
     steps = np.arange(len(y) + 1) * -GAP
-    above, run, start = np.zeros(len(y) + 1, int), np.zeros(len(y) + 1, int), np.arange(0, 1)
+    above, run, begin = (np.zeros(len(y) + 1, int) for _ in range(3))
     best, longest, spans = 0, 0, 0
-    begin = np.zeros(len(y) + 1, int)
     for i, w in enumerate(x):
         same = y == w
         grown = np.concatenate([[0], np.where(same, run[:-1] + 1, 0)])

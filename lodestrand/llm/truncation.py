@@ -54,7 +54,7 @@ OMITTED = re.compile(
 ABBREVIATED = re.compile(r"(?:^|[\s(])(?:sec|cf|no|nr|núm|n|e\.g|i\.e|p\. ?ex|z\. ?b|p\. ?ej|vgl|fig|art|abs|par|approx|vs)\.$|\bsec\. ?\d*\.$", re.I)
 LIST = re.compile(r"^\s*(?:[-*•–+·]|\(?(?:\d{1,3}|[a-z])[.)])\s")
 SIGNED = re.compile(r"^\s*(?:[—–]\s*\S|(?:kind|best|warm) regards|regards|sincerely|yours|mit freundlichen|cordialement|bien à vous|atentamente|saludos)", re.I)
-REFERENCE = re.compile(r"^\s*(?:\[\d+\]|(?:see|cf|ref|refs|source|siehe|vgl|voir|véase|version|rev)\b.{0,80}\d\W*$|https?://\S+$)", re.I)
+REFERENCE = re.compile(r"^\s*(?:\[\d+\]|(?:see|cf|ref|refs|source|siehe|vgl|voir|véase|version|rev)\b.{0,80}\d[a-z]?\W*$|https?://\S+$)", re.I)
 LABEL = re.compile(r"^\s*[^\W\d_][^\W\d_ ]*(?: [^\W\d_]+)?:\s")
 BRACKETED = re.compile(r"^\s*[(\[<{].*[)\]>}]\s*$")
 NUMBERED = re.compile(r"^\s*(?:\d+(?:\.\d+)*\.?|[A-Z]{1,4}-\d+[a-z]?(?:\(\d+\))*|(?:annex|appendix|anhang|annexe|anexo|chapter|section|part)\s+\S+)[ :–-]+\S", re.I)
@@ -159,13 +159,18 @@ def piles(tails: DataFrame) -> DataFrame:
     return sizes.withColumn("usual", usual).where((F.col("here") >= PILE) & (F.col("here") >= EXCESS * F.col("usual"))).select("source", "size")
 
 
+def _matches(line: Column, pattern: re.Pattern[str]) -> Column:
+    """The pattern as Python means it: letters and digits of all scripts."""
+    return line.rlike(("(?iU)" if pattern.flags & re.I else "(?U)") + pattern.pattern)
+
+
 def _structural(line: Column) -> Column:
     """Whether a line is of a kind that ends without a stop."""
     title = line.rlike(r"^(?:[\p{Lu}][\p{L}\p{M}]*[ -]*){1,8}(?:[A-Z]{1,4}-\d+[a-z]?(?:\(\d+\))*)?$")
     signs = ~line.rlike(r"[\p{L}\p{N}]")
-    patterns = [line.rlike("(?i)" + p.pattern if p.flags & re.I else p.pattern) for p in (LIST, SIGNED, REFERENCE, BRACKETED)]
-    label = line.rlike(LABEL.pattern) & (F.length(line) <= SHORT)
-    numbered = line.rlike("(?i)" + NUMBERED.pattern) & (F.length(line) <= 60) & ~line.rlike(r"^[A-Z]{1,4}-\d+[a-z]?(?:\(\d+\))*:")
+    patterns = [_matches(line, p) for p in (LIST, SIGNED, REFERENCE, BRACKETED)]
+    label = _matches(line, LABEL) & (F.length(line) <= SHORT)
+    numbered = _matches(line, NUMBERED) & (F.length(line) <= 60) & ~line.rlike(r"^[A-Z]{1,4}-\d+[a-z]?(?:\(\d+\))*:")
     kinds = title | signs | label | numbered | line.contains("|")
     for p in patterns:
         kinds = kinds | p
@@ -185,14 +190,12 @@ def judged(df: DataFrame, id_: str = "doc_id", source: str = "source", text: str
     known = known.join(limits.withColumnsRenamed({"source": "_source", "size": "_size"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")), "left")
     line, n = F.col("line"), F.coalesce("n", F.lit(0))
     cited = F.regexp_replace(line, CITED.pattern, "")
-    stop = cited.rlike(STOP.pattern) & ~line.rlike(r"\.\.\.$")
-    abbreviated = line.rlike("(?i)" + ABBREVIATED.pattern)
+    stop = _matches(cited, STOP) & ~line.rlike(r"\.\.\.$")
+    abbreviated = _matches(line, ABBREVIATED)
     last = F.regexp_extract(line, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)
     prefix = line.rlike(r"[\p{L}\p{M}]$") & last.rlike(r"^\p{L}+$") & F.col("below").isNotNull() & (n <= KNOWN_SHARE * F.col("below"))
     at_limit = F.col("_size").isNotNull()
     seldom = F.coalesce("ends", F.lit(0)) < SELDOM * n
-    # A line that is nothing but a heading seen elsewhere, or of a kind that needs no stop.
-    whole_line = _structural(line) | (F.col("times").isNotNull() & (F.length(line) <= SHORT))
     reason = (
         F.when(F.length(line) == 0, "blank")
         .when(stop & abbreviated, "abbreviation")
@@ -201,7 +204,7 @@ def judged(df: DataFrame, id_: str = "doc_id", source: str = "source", text: str
         .when(F.col("times").isNotNull() & (F.length(line) <= SHORT) & ~(at_limit & seldom), "recurring")
         .when(prefix, "prefix")
         .when(line.rlike(r"[,;(\[“«„'’-]$") & ~line.rlike(r"^\W*$") & ~line.rlike(r"^- .* -$"), "open")
-        .when(whole_line & ~(at_limit & seldom), "structure")
+        .when(_structural(line) & ~(at_limit & seldom), "structure")
         .otherwise("unended")
     )
     return known.withColumn("reason", reason).select("id", "source", "size", F.col("reason").isin(*CUT).alias("cut"), "reason")
