@@ -135,8 +135,8 @@ def report_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of a Markdown table, the least refusals in bold."""
     rows = report_extremes(spark, folder)
     cell = F.format_string("%.4f", "refusals")
-    line = F.concat_ws(" | ", F.lit("|"), "provider", "pipeline", F.format_string("%.1f", "tokens"), F.when(F.col("refusals_best"), F.concat(F.lit("**"), cell, F.lit("**"))).otherwise(cell), F.lit("|"))
-    return rows.select(line.alias("line"))
+    cells = F.concat_ws(" | ", "provider", "pipeline", F.format_string("%.1f", "tokens"), F.when(F.col("refusals_best"), F.concat(F.lit("**"), cell, F.lit("**"))).otherwise(cell))
+    return rows.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
 
 
 def sets_union(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,6 +223,7 @@ SELECT k.chunk_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (line IS
     "eval_set": f"WITH {_GOLDEN} SELECT type, difficulty, count(*) AS n FROM g WHERE NOT coalesce(held_out, false) AND type <> 'unanswerable' GROUP BY ALL",
     "stratified": f"WITH {_GOLDEN}, t AS (SELECT example_id, type, row_number() OVER (PARTITION BY type ORDER BY example_id)::INT AS turn FROM g WHERE type IS NOT NULL) SELECT * FROM t ORDER BY turn, type LIMIT 20",
     "report_deltas": f"WITH {_PIPES} SELECT a.provider, round(a.tokens - v.tokens, 4) AS tokens, round(a.refusals - v.refusals, 6) AS refusals FROM p a JOIN p v USING (provider) WHERE a.pipeline = 'agentic' AND v.pipeline = 'vanilla'",
+    "report_markdown": f"WITH {_PIPES}, q AS (SELECT provider, pipeline, printf('%.1f', tokens) AS t, printf('%.4f', refusals) AS r, refusals = min(refusals) OVER () AS best FROM (SELECT provider, pipeline, round(tokens, 4) AS tokens, round(refusals, 6) AS refusals FROM p)) SELECT '| ' || concat_ws(' | ', provider, pipeline, t, CASE WHEN best THEN '**' || r || '**' ELSE r END) || ' |' AS line FROM q",
     "report_extremes": f"WITH {_PIPES}, q AS (SELECT provider, pipeline, round(tokens, 4) AS tokens, round(refusals, 6) AS refusals FROM p) SELECT *, tokens = max(tokens) OVER () AS tokens_best, refusals = min(refusals) OVER () AS refusals_best FROM q",
     "sets_union": "SELECT id, max(p)::INT AS priority FROM (SELECT id, 1 AS p FROM v2 UNION ALL SELECT call_id, 2 FROM canary_defended) GROUP BY 1",
     "sets_intersect": "SELECT example_id FROM labels INTERSECT SELECT id FROM v2",
