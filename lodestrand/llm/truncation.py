@@ -44,6 +44,8 @@ HELD = 400_000
 
 WORDS = re.compile(r"[^\W_]+")
 STOP = re.compile(r"[.!?。！？][\"”»'’)\]*_]*$")
+#: The same without an expression: what stands for a stop, and what may close behind it.
+STOPS, CLOSERS = frozenset(".!?。！？"), "\"”»'’)]*_"
 CITED = re.compile(r"(?:\s*\[\d{1,4}\])+$")
 #: Marks of omission (fixed values), with or without brackets.
 OMITTED = re.compile(
@@ -76,12 +78,14 @@ def _trimmed(text: str) -> str:
 def last_line(text: str) -> tuple[str, bool]:
     """What the text ends with, without a mark of omission, and whether there was one (or a broken character)."""
     body = _trimmed(text)
-    broken = "�" in text[len(body) :]
-    m = OMITTED.search(body)
-    if m and body[: m.start()].strip():
-        body = _trimmed(body[: m.start()])
-        return body.rsplit("\n", 1)[-1].strip(), True
-    return body.rsplit("\n", 1)[-1].strip(), broken
+    mark = "�" in text[len(body) :]
+    # A mark is short, so each is looked for at the very end, until there is none left.
+    while m := OMITTED.search(body[-80:]):
+        before = body[: len(body) - len(body[-80:]) + m.start()]
+        if not before.strip():
+            break
+        body, mark = _trimmed(before), True
+    return body.rsplit("\n", 1)[-1].strip(), mark
 
 
 def line_key(line: str) -> str:
@@ -121,7 +125,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tokens[body[-1]] -= 1
             for inner in text.split("\n")[:-1]:
                 inner = inner.strip()
-                if inner and not STOP.search(inner):
+                if inner and inner.rstrip(CLOSERS)[-1:] not in STOPS:
                     opened[inner.rsplit(None, 1)[-1].lower()] += 1
                     if len(inner) <= SHORT:
                         lines[line_key(inner)] += 1
