@@ -68,14 +68,14 @@ def cut_lineage(df: DataFrame, *partition_hint: str) -> DataFrame:
     """Write `df` as a table in the shared folder and return a scan of it.
 
     A lost executor then costs no recomputation, the planner knows the table's size, and each
-    reader prunes columns. The table is removed when the driver ends.
+    reader prunes columns. A table on a local path is removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestrand-{uuid.uuid4().hex}"
     writer = df.repartition(*partition_hint) if partition_hint else df
     writer.write.parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, os.path.normpath(path[len("file:") :]), ignore_errors=True)
+    if path.startswith(("file:", "/")):  # tables on other file systems are left to the cluster's clean-up
+        atexit.register(shutil.rmtree, os.path.normpath(path.removeprefix("file:")), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
