@@ -1,17 +1,18 @@
 """Texts cut off by a field limit or in transfer: a vocabulary trie, ends of units and lengths.
 
 One pass over all texts counts, within each task first, the corpus's words (without each text's
-last one), how often each ends a sentence or line, and the short lines that end without a stop;
-it also keeps every text's last line. From the counts Spark builds the vocabulary trie as a table
+last one), how often each ends a sentence or line, and the short lines within texts, their last
+ones left out, that end without a stop; it also keeps every text's last line. From the counts Spark builds the vocabulary trie as a table
 with a row for each proper prefix and the weight of the words below it. A text's last line is then
 judged by what ends it:
 
 * a stop, or a stop within closing signs: whole, unless it belongs to an abbreviation;
+* nothing but a line that is also the whole of other texts, while few texts go on from it: whole;
 * a last word that the corpus hardly knows but that begins words it knows well: cut;
 * a mark of omission behind an open sentence: cut;
-* a list item, table row, heading, label, reference, sign-off, or a line that recurs elsewhere:
-  whole, unless its length is one at which its source piles up texts and its last word seldom
-  ends anything;
+* a list item, table row, heading, label, reference, sign-off, or a line that recurs within
+  enough different texts (or at their ends, if its last word mostly ends what it is in): whole, unless its length is one at which its source piles up texts and
+  its last word seldom ends anything;
 * any other line without a stop: cut.
 
 Defined results: NULL, empty and blank texts are whole; repeated rows give one row per id; a
@@ -22,6 +23,7 @@ beside the named ones are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +41,11 @@ SELDOM = 0.05
 PILE, EXCESS, AROUND = 5, 4.0, 12
 #: Longest line that is counted as one that may recur.
 SHORT = 90
+#: Different texts, and share of all texts, that must hold a line for it to recur.
+RECURS, RECURS_SHARE = 3, 0.0002
+#: Share of a word's uses that end a sentence or line, from which texts' last lines with it may vouch for each other;
+#: and share of the texts with one beginning that end there, from which the beginning is a whole text.
+MOSTLY = 0.5
 #: Distinct words a task holds before it passes its counts on.
 HELD = 400_000
 
@@ -58,13 +65,15 @@ LIST = re.compile(r"^\s*(?:[-*•–+·]|\(?(?:\d{1,3}|[a-z])[.)])\s")
 SIGNED = re.compile(r"^\s*(?:[—–]\s*\S|(?:kind|best|warm) regards|regards|sincerely|yours|mit freundlichen|cordialement|bien à vous|atentamente|saludos)", re.I)
 REFERENCE = re.compile(r"^\s*(?:\[\d+\]|(?:see|cf|ref|refs|source|siehe|vgl|voir|véase|version|rev)\b.{0,80}\d[a-z]?\W*$|https?://\S+$)", re.I)
 LABEL = re.compile(r"^\s*[^\W\d_][^\W\d_ ]*(?: [^\W\d_]+)?:\s")
+#: What stands for a value that is not given (fixed values).
+PLACEHOLDER = re.compile(r"^\W*(?:[^\W\d_]{1,2}(?:[./][^\W\d_]{1,2})+\.?|none|null|nil|unknown|tbd)\W*$", re.I)
 BRACKETED = re.compile(r"^\s*[(\[<{].*[)\]>}]\s*$")
 NUMBERED = re.compile(r"^\s*(?:\d+(?:\.\d+)*\.?|[A-Z]{1,4}-\d+[a-z]?(?:\(\d+\))*|(?:annex|appendix|anhang|annexe|anexo|chapter|section|part)\s+\S+)[ :–-]+\S", re.I)
 
 #: The reasons for which a text counts as cut.
 CUT = ("abbreviation", "mark", "prefix", "open", "unended")
 
-COUNTED = "kind string, key string, n long, ends long, id string, source string, size int, line string, mark boolean, words array<string>"
+COUNTED = "kind string, key string, n long, ends long, id string, source string, size int, line string, mark boolean, words array<string>, head string"
 
 
 def _trimmed(text: str) -> str:
@@ -95,6 +104,7 @@ def line_key(line: str) -> str:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in COUNTED.split(", ")]
     tokens, opened, lines = Counter(), Counter(), Counter()
+    holders: dict[str, tuple[str, ...]] = {}  # up to RECURS different texts of each line
 
     def passed_on() -> pd.DataFrame:
         words, ends = Counter(), Counter()
@@ -108,8 +118,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = WORDS.findall(token)
             if found:
                 ends[found[-1]] += n
-        rows = [("word", w, n, ends[w], *[None] * 6) for w, n in words.items()] + [("line", k, n, 0, *[None] * 6) for k, n in lines.items()]
-        for c in (tokens, opened, lines):
+        rows = [("word", w, n, ends[w], *[None] * 7) for w, n in words.items()] + [("line", k, n, 0, *[None] * 5, holders[k], None) for k, n in lines.items()]
+        for c in (tokens, opened, lines, holders):
             c.clear()
         return pd.DataFrame(rows, columns=columns)
 
@@ -123,15 +133,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens.update(low)
             if body:
                 tokens[body[-1]] -= 1
-            for inner in text.split("\n")[:-1]:
+            inside = set()
+            for inner in text[: len(text.rstrip())].split("\n")[:-1]:
                 inner = inner.strip()
                 if inner and inner.rstrip(CLOSERS)[-1:] not in STOPS:
                     opened[inner.rsplit(None, 1)[-1].lower()] += 1
                     if len(inner) <= SHORT:
-                        lines[line_key(inner)] += 1
-            if len(line) <= SHORT:
-                lines[line_key(line)] += 1
-            tails.append(("tail", None, 0, 0, id_, source, len(text), line, mark, WORDS.findall(line.lower())[-1:]))
+                        inside.add(line_key(inner))
+            name = str(zlib.crc32(text.encode(errors="replace")))
+            if inside:
+                lines.update(inside)
+                for key in inside:
+                    known = holders.get(key, ())
+                    if len(known) < RECURS and name not in known:
+                        holders[key] = (*known, name)
+            tails.append(("tail", name, 0, 0, id_, source, len(text), line, mark, WORDS.findall(line.lower())[-1:], text.strip()[: SHORT + 1]))
         yield pd.DataFrame(tails, columns=columns)
         if len(tokens) + len(lines) > HELD:
             yield passed_on()
@@ -163,6 +179,16 @@ def piles(tails: DataFrame) -> DataFrame:
     return sizes.withColumn("usual", usual).where((F.col("here") >= PILE) & (F.col("here") >= EXCESS * F.col("usual"))).select("source", "size")
 
 
+def whole_values(tails: DataFrame, least: float) -> DataFrame:
+    """(value, alone): short lines without a stop that are all of at least `least` texts, and of most texts that begin with them."""
+    values = tails.where((F.col("head") == F.col("line")) & (F.length("line") <= SHORT) & ~F.col("line").rlike("[.!?。！？]$"))
+    values = values.groupBy(F.col("line").alias("value")).agg(F.count_distinct("id").alias("alone")).where(F.col("alone") >= least)
+    sizes = [r.n for r in values.select(F.length("value").alias("n")).distinct().collect()]  # at most SHORT
+    begun = tails.select("head", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).where(F.length("head") > F.col("n"))
+    longer = begun.select(F.left("head", "n").alias("value")).join(values.select("value"), "value", "left_semi").groupBy("value").agg(F.count("*").alias("longer"))
+    return values.join(longer, "value", "left").where(F.col("alone") >= MOSTLY * (F.col("alone") + F.coalesce("longer", F.lit(0)))).select("value", "alone")
+
+
 def _matches(line: Column, pattern: re.Pattern[str]) -> Column:
     """The pattern as Python means it: letters and digits of all scripts."""
     return line.rlike(("(?iU)" if pattern.flags & re.I else "(?U)") + pattern.pattern)
@@ -184,13 +210,19 @@ def _structural(line: Column) -> Column:
 def judged(df: DataFrame, id_: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(id, source, size, cut, reason) of each text with an id; reason tells by what it was judged."""
     counted = counts(df, id_, source, text)
-    tails = counted.where("kind = 'tail'").select("id", "source", "size", "line", "mark", F.try_element_at("words", F.lit(-1)).alias("word"))
+    key = F.array_join(F.expr(r"regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+', 0)"), " ")
+    tails = counted.where("kind = 'tail'").select(F.col("key").alias("name"), "id", "source", "size", "line", "mark", "head", key.alias("line_key"), F.try_element_at("words", F.lit(-1)).alias("word"))
     words = cut_lineage(vocabulary(counted))
     nodes = cut_lineage(trie(words))
-    recurring = counted.where("kind = 'line'").groupBy(F.col("key").alias("line_key")).agg(F.sum("n").alias("times")).where("times > 2")
+    different = F.size(F.array_distinct(F.flatten(F.collect_list("words"))))
+    lines = counted.where("kind = 'line'").groupBy(F.col("key").alias("line_key")).agg(F.sum("n").alias("times"), different.alias("different"))
+    ending = tails.where((F.length("line") <= SHORT) & ~F.col("line").rlike("[.!?。！？]$")).groupBy("line_key").agg(F.count("*").alias("times"), F.count_distinct("name").alias("different"))
+    least = max(RECURS, RECURS_SHARE * tails.count())
+    enough = (F.col("different") >= RECURS) & (F.col("times") >= least)
+    values = whole_values(tails, least)
+    recurring, shared = lines.where(enough).drop("different"), ending.where(enough).select("line_key", F.col("times").alias("ending"))
     limits = piles(tails)
-    key = F.array_join(F.expr(r"regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+', 0)"), " ")
-    known = tails.withColumn("line_key", key).join(words, "word", "left").join(nodes.withColumnRenamed("node", "word"), "word", "left").join(recurring, "line_key", "left")
+    known = tails.join(words, "word", "left").join(nodes.withColumnRenamed("node", "word"), "word", "left").join(recurring, "line_key", "left").join(shared, "line_key", "left").join(values, (F.col("head") == F.col("value")) & (F.col("line") == F.col("value")), "left")
     known = known.join(limits.withColumnsRenamed({"source": "_source", "size": "_size"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")), "left")
     line, n = F.col("line"), F.coalesce("n", F.lit(0))
     cited = F.regexp_replace(line, CITED.pattern, "")
@@ -200,13 +232,18 @@ def judged(df: DataFrame, id_: str = "doc_id", source: str = "source", text: str
     prefix = line.rlike(r"[\p{L}\p{M}]$") & last.rlike(r"^\p{L}+$") & F.col("below").isNotNull() & (n <= KNOWN_SHARE * F.col("below"))
     at_limit = F.col("_size").isNotNull()
     seldom = F.coalesce("ends", F.lit(0)) < SELDOM * n
+    # Cut texts end alike too, but at words that mostly go on.
+    ends_it = F.col("ending").isNotNull() & (F.coalesce("ends", F.lit(0)) >= MOSTLY * n)
+    value = F.col("alone").isNotNull() & ~(prefix & (F.col("alone") < F.col("below")))
     reason = (
         F.when(F.length(line) == 0, "blank")
         .when(stop & abbreviated, "abbreviation")
         .when(stop, "stop")
         .when(F.col("mark") & ~line.rlike(r"^\W*$"), "mark")
-        .when(F.col("times").isNotNull() & (F.length(line) <= SHORT) & ~(at_limit & seldom), "recurring")
+        .when(_matches(line, PLACEHOLDER), "structure")
+        .when(value, "recurring")
         .when(prefix, "prefix")
+        .when((F.col("times").isNotNull() | ends_it) & (F.length(line) <= SHORT) & ~(at_limit & seldom), "recurring")
         .when(line.rlike(r"[,;(\[“«„'’-]$") & ~line.rlike(r"^\W*$") & ~line.rlike(r"^- .* -$"), "open")
         .when(_structural(line) & ~(at_limit & seldom), "structure")
         .otherwise("unended")

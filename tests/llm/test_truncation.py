@@ -33,6 +33,22 @@ def test_cut_and_whole(spark):
     assert rates["b"][0] == rates["b"][1] == len(cut) + 1 and rates["a"][1] == 0 and rates[None] == (1, 0)
 
 
+def test_cut_texts_do_not_vouch_for_each_other(spark):
+    whole, _ = corpus()
+    ends = ["The change board", "The records unit must encrypt exception requ", "the usual remarks"]
+    rows = [(i, "a", t) for i, t in enumerate(whole)]
+    # Twelve texts cut at the same words, and one text in twelve copies that holds them as a line.
+    rows += [(1000 + 100 * k + i, "b", f"{whole[i * 13]}\n{'x' * i}.\n{end}") for k, end in enumerate(ends[:2]) for i in range(6)]
+    rows += [(2000 + i, "c", "Notes.\nThe change board\nIt met.") for i in range(12)]
+    rows += [(3000 + i, "d", f"It met {i}.\n{ends[2]}\nIt closed.") for i in range(3)] + [(3100, "d", f"It met.\n{ends[2]}")]
+    # Whole texts that are alike, and alike ones from which others go on.
+    rows += [(4000 + i, "e", "waiting for results") for i in range(5)] + [(4100 + i, "e", "The internal auditor") for i in range(3)]
+    got = {int(r.id): r.reason for r in T.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {r for i, r in got.items() if 1000 <= i < 1100} == {"unended"} and {r for i, r in got.items() if 1100 <= i < 1200} == {"prefix"}
+    assert got[3100] == "recurring"
+    assert {r for i, r in got.items() if 4000 <= i < 4100} == {"recurring"} and {r for i, r in got.items() if 4100 <= i < 4200} == {"unended"}
+
+
 def test_trie(spark):
     words = spark.createDataFrame([("ab", 3, 0), ("abc", 5, 1), ("x", 1, 0)], "word string, n long, ends long")
     assert {(r.node, r.below) for r in T.trie(words).collect()} == {("a", 8), ("ab", 5)}
