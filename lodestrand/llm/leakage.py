@@ -4,7 +4,9 @@ The corpus is read once. A task turns a document into words, marks where n-grams
 items stand, and passes on only the regions around them. How many documents hold each n-gram is
 counted over the whole corpus; of every window of n-grams that a run of `run` words spans, only
 the rarest is a seed, so every such run still meets a seed while phrases that half the corpus
-shares seed next to nothing. Regions and items that share a seed are aligned.
+shares seed next to nothing. Edited copies need not hold such a run, so where they count every
+n-gram up to a share of the documents (`every`) is a seed as well. Regions and items that share
+a seed are aligned.
 
 The items' n-grams filter the corpus inside the scan as long as they are few (`most_grams`, counted
 before); beyond that every n-gram of the corpus goes into the same join instead.
@@ -32,6 +34,8 @@ from lodestrand.session import cut_lineage, gathered
 
 GRAM, RUN = 6, 12
 MOST_GRAMS = 2_000_000
+#: Share of the documents, and number of them in any case, up to which every n-gram of an item seeds edited copies.
+EVERY, EVERY_DOCS = 0.01, 100
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 WORD = re.compile(r"[^\W_]+")
@@ -179,11 +183,12 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc", "item", "score", "span", "run", "words"])
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM, run: int = RUN, most_grams: int = MOST_GRAMS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM, run: int = RUN, most_grams: int = MOST_GRAMS, every: float | None = None) -> DataFrame:
     """(doc, item, score, span, run, words): the best alignment of each document and item that share a seed.
 
     score is the Smith-Waterman score (2 a match, -1 a mismatch or gap), span the words of the item
-    that the alignment covers, run the longest run of equal words, words the item's length.
+    that the alignment covers, run the longest run of equal words, words the item's length. With `every`, n-grams found in at most
+    that share of the documents (or `EVERY_DOCS`) are seeds too, beside the rarest of each window.
     """
     if gram > run:
         raise ValueError("an n-gram must not be longer than the run it seeds")
@@ -201,7 +206,13 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
     regions = cut_lineage(texts.mapInPandas(_regions(vocabulary, gram, max(run, bounds.most or 0)), REGIONS))
     seen = regions.select("doc", F.explode("grams").alias("gram"))
     frequency = seen.join(grams.select("gram").distinct(), "gram", "left_semi").distinct().groupBy("gram").agg(F.count("*").alias("docs"))
-    seeds = rare_seeds(grams, frequency, gram, run).select("item", "gram").distinct()
+    if every is not None:
+        frequency = cut_lineage(frequency)
+    seeds = rare_seeds(grams, frequency, gram, run).select("item", "gram")
+    if every is not None:
+        most = max(EVERY_DOCS, every * texts.count())
+        seeds = seeds.unionByName(grams.join(frequency.where(F.col("docs") <= most), "gram", "left_semi").select("item", "gram"))
+    seeds = seeds.distinct()
     region = F.xxhash64("doc", "first", "words").alias("region")
     found = regions.select("doc", region, F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, "gram").select("doc", "region", "item").distinct()
     pairs = found.join(regions.select("doc", region, "words").distinct(), ["doc", "region"]).join(held.select("item", F.col("words").alias("own")), "item")

@@ -64,6 +64,17 @@ def test_every_run_and_no_other(world, most):
     assert set(got) == want and len(got) == len(want) > 20
 
 
+def test_edited_copy_beside_an_intact_one(spark):
+    item = [f"v{i}" for i in range(40)]
+    edited = [w for k in range(0, 40, 8) for w in [*item[k : k + 7], f"other{k}"]]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    # The seventh words' n-grams are in the intact copy alone, so the rarest of each window is among them.
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(edited)), (3, "nothing of it")], "doc_id long, text string")
+    got = {r.doc: (r.score, r.run) for r in L.leaks(docs, items, every=L.EVERY).collect()}
+    assert got == {"1": (80, 40), "2": (smith_waterman(item, edited), 7)} and got["2"][0] >= 40
+    assert {r.doc for r in L.leaks(docs, items).collect()} == {"1"}
+
+
 def test_nothing(world):
     _, _, items, docs = world
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
