@@ -119,11 +119,17 @@ def gather_sub_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    calls = _calls(spark, folder).withColumn("context_size", F.lit(2)).where("text is not null")
+    calls = _calls(spark, folder).withColumn("context_size", F.size(answers.given_excerpts("asked"))).where("text is not null")
     out = answers.resolved(calls)
     return out.select("call_id", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited"), F.array_join(F.transform("invalid", lambda x: x.cast("string")), ",").alias("invalid"), "resolved_text")
 
 
+def cited_excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each valid marker of an answer with the source of the excerpt at its position."""
+    calls = _calls(spark, folder).withColumn("given", answers.given_excerpts("asked")).withColumn("context_size", F.size("given")).where("text is not null")
+    return answers.resolved(calls).select("call_id", "given", F.explode("cited").alias("marker")).select("call_id", "marker", F.element_at("given", F.col("marker")).alias("source"))
+
+
 def sentinels(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "v2", "id", "reference_answer").distinct().where("reference_answer is not null")
     return answers.scrubbed(rows, "reference_answer").select("id", "refusal", "stray_sentinel", "scrubbed_text")
@@ -133,7 +139,7 @@ QUERIES = {
     "guard_pii_counts": pii_counts, "guard_luhn": luhn_candidates, "guard_injection_counts": injection_counts, "guard_base64": base64_runs, "guard_spans": spans,
     "guard_policy_verdicts": policy_verdicts, "guard_redacted": redacted_documents, "guard_verdict_rates": verdict_rates, "guard_audit": audit_projection,
     "guard_query_hashes": query_hashes, "guard_forged_tags": forged_tags, "answer_excerpts": excerpts, "answer_context_budget": context_budget,
-    "answer_gather": gather_sub_queries, "answer_citations": citations, "answer_sentinels": sentinels,
+    "answer_gather": gather_sub_queries, "answer_citations": citations, "answer_cited_excerpts": cited_excerpts, "answer_sentinels": sentinels,
 }
 
 _CALLS = """
