@@ -35,7 +35,9 @@ def injection_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded calls whose messages match each category of injection."""
     calls = _calls(spark, folder)
     safe = {c: [p for p in ps if p != guardrails._BASE64] for c, ps in INJECTION.items()}
-    hit = lambda c: F.array_max(F.array(*[F.col("asked").rlike(p).cast("int") for p in safe[c]]))
+    runs = F.regexp_extract_all("asked", F.lit(guardrails._BASE64), F.lit(0))
+    encoded = F.coalesce(F.exists(runs, lambda r: r.rlike("[0-9]") & r.rlike("[A-Za-z]") & (F.length(F.regexp_replace(r, "[^/]", "")) <= 2)), F.lit(False))
+    hit = lambda c: F.array_max(F.array(*[F.col("asked").rlike("(?U)" + p).cast("int") for p in safe[c]], *[encoded.cast("int")] * (c == "encoded_payload")))
     return calls.agg(F.count("*").alias("calls"), *[F.sum(hit(c)).alias(c) for c in INJECTION])
 
 
