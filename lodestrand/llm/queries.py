@@ -25,7 +25,7 @@ def p1_clean_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_line_sequences(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks", "chunk_id", "doc_id", "text")
-    patterns, _ = repeated_lines.frequent_sequences(chunks)
+    patterns = repeated_lines.every_sequence(chunks)
     return patterns.groupBy(F.col("source").alias("doc_id"), "length").agg(F.count("*").alias("sequences"), F.max("support").alias("most_chunks"))
 
 

@@ -106,6 +106,33 @@ def frequent_sequences(
     return reduce(DataFrame.unionByName, patterns), reduce(DataFrame.unionByName, occurrences)
 
 
+def every_sequence(df: DataFrame, source: str = "doc_id", doc: str = "chunk_id", text: str = "text", min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(source, pattern, length, support) of all frequent sequences, with any gaps and of any length.
+
+    A text is projected once per pattern, to what follows the pattern's first occurrence; levels
+    are grown until none is frequent. The patterns themselves can be as many as the subsequences
+    of the longest sequence that is frequent.
+    """
+    every = lines(df, source, doc, text)
+    single = cut_lineage(frequent_lines(every, min_support))
+    kept = every.join(single, ["source", "key"])
+    rest = F.transform(F.array_sort(F.collect_set(F.struct("line_no", "key"))), lambda x: x["key"])
+    level = cut_lineage(kept.groupBy("source", "doc", "body").agg(rest.alias("rest")).withColumn("pattern", F.expr("cast(array() as array<bigint>)")))
+    out, length = [], 0
+    while not level.isEmpty():
+        length += 1
+        grown = level.select("source", "doc", "body", "pattern", "rest", F.explode(F.array_distinct("rest")).alias("key")).select(
+            "source", "doc", "body",
+            F.concat("pattern", F.array("key")).alias("pattern"),
+            F.expr("slice(rest, array_position(rest, key) + 1, size(rest))").alias("rest"),
+        )
+        per_doc = grown.groupBy("source", "pattern", "doc").agg(F.lit(1).alias("one"))
+        frequent = cut_lineage(per_doc.groupBy("source", "pattern").agg(F.count("one").alias("support")).where(F.col("support") >= min_support))
+        out.append(frequent.select("source", "pattern", F.lit(length).alias("length"), "support"))
+        level = cut_lineage(grown.where(F.size("rest") > 0).join(frequent.select("source", "pattern"), ["source", "pattern"]))
+    return reduce(DataFrame.unionByName, out) if out else single.select("source", F.array("key").alias("pattern"), F.lit(1).alias("length"), "support")
+
+
 def repeated_lines(df: DataFrame, source: str = "doc_id", doc: str = "chunk_id", text: str = "text", **mining) -> DataFrame:
     """(source, doc, body, line_no) of each line that a frequent sequence covers."""
     _, found = frequent_sequences(df, source, doc, text, **mining)

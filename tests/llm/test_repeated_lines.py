@@ -60,6 +60,21 @@ def test_sequences_against_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_sequences_of_any_gap_and_length(spark):
+    from itertools import combinations
+
+    rows = [("s", f"{i}", "\n".join("abcdef")) for i in range(4)] + [("s", f"x{i}", "\n".join(p)) for i, p in enumerate(product("abg", repeat=3))]
+    seen = defaultdict(set)
+    for _, c, t in rows:
+        p = t.split("\n")
+        for n in range(1, len(p) + 1):
+            for q in combinations(p, n):
+                seen[q].add(c)
+    got = sorted((r.length, r.support) for r in R.every_sequence(make(spark, rows), min_support=4).collect())
+    assert got == sorted((len(q), len(v)) for q, v in seen.items() if len(v) >= 4) and got[-1] == (6, 4)
+    assert R.every_sequence(make(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("rows", [[], [("a", "c", "   \n 12 \n--")]])
 def test_nothing_to_find(spark, rows):
     df = make(spark, rows)
