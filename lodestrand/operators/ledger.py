@@ -36,6 +36,11 @@ def latest(ledger: DataFrame, key: tuple[str, ...] = KEY, order: str = "ingest_s
     return last.select(*key, *[F.col("_last").getField(c).alias(c) for c in rest])
 
 
+def measured(seconds: str = "latency_s") -> Column:
+    """A latency, or NULL where it is no measurement: NaN or below 0."""
+    return F.when((F.col(seconds) >= 0) & ~F.isnan(seconds), F.col(seconds))
+
+
 def since(ledger: DataFrame, day: str) -> DataFrame:
     """Rows of `day` (YYYY-MM-DD, UTC) and later; reaches the Parquet scan as a pushed filter."""
     return ledger.where(F.col("ts") >= F.to_timestamp(F.lit(day)))

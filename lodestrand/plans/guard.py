@@ -148,6 +148,15 @@ _CALLS = """
 WITH d AS (SELECT DISTINCT call_id, request.messages AS ms, response.text AS text, response.model AS model, response.usage.input_tokens AS input_tokens FROM canary_defended),
 c AS (SELECT call_id, text, model, input_tokens, array_to_string(list_transform(list_filter(ms, lambda m: m.role = 'user'), lambda m: coalesce(m.content, '')), chr(10)) AS asked FROM d)
 """
+_TAG = r'''<excerpt id=(\d+) source="([^"\n]*)">\n(?:(?s:.*?)\n)?</excerpt>'''
+#: gs(call_id, text, given): the sources of a request's excerpts, in the first unbroken block of them, numbered from 1.
+_GIVEN = (
+    _CALLS
+    + f""", b AS (SELECT call_id, text, regexp_extract(asked, '(?m)^(?:{_TAG}\\n?)+') AS block FROM c),
+x AS (SELECT call_id, text, regexp_extract_all(block, '{_TAG}', 1) AS ids, regexp_extract_all(block, '{_TAG}', 2) AS sources FROM b),
+gs AS (SELECT call_id, text, list_filter(sources, lambda s, i: ids[i] = i::VARCHAR) AS given FROM x)
+"""
+)
 _CHUNKS = "WITH k AS (SELECT DISTINCT chunk_id, doc_id, section_id, heading, page_start, char_start, text FROM chunks)\n"
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\p{C}]'))"
 
@@ -182,12 +191,15 @@ SELECT doc_id, run, regexp_matches(run, '[0-9]') AND regexp_matches(run, '[A-Za-
     + f"""SELECT * FROM (SELECT query_id, chunk_id, rank, tokens, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS tokens_upto FROM (
   SELECT concat_ws('/', doc_id, section_id) AS query_id, chunk_id, {_TOKENS}::INT AS tokens, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY char_start NULLS FIRST, chunk_id)::INT AS rank FROM k))
   WHERE rank = 1 OR tokens_upto <= 512""",
-    "answer_citations": _CALLS
-    + r""", m AS (SELECT call_id, text, list_transform(regexp_extract_all(text, '\[(\d{1,9})\]', 1), lambda x: x::INT) AS ns FROM c WHERE text IS NOT NULL),
-u AS (SELECT call_id, text, list_filter(ns, lambda n, i: list_position(ns, n) = i) AS ns FROM m),
-v AS (SELECT call_id, text, list_filter(ns, lambda n: n BETWEEN 1 AND 2) AS good, list_sort(list_filter(ns, lambda n: n NOT BETWEEN 1 AND 2)) AS bad FROM u)
+    "answer_citations": _GIVEN
+    + r""", m AS (SELECT call_id, text, len(given) AS size, list_transform(regexp_extract_all(text, '\[(\d{1,9})\]', 1), lambda x: x::INT) AS ns FROM gs WHERE text IS NOT NULL),
+u AS (SELECT call_id, text, size, list_filter(ns, lambda n, i: list_position(ns, n) = i) AS ns FROM m),
+v AS (SELECT call_id, text, list_filter(ns, lambda n: n BETWEEN 1 AND size) AS good, list_sort(list_filter(ns, lambda n: n NOT BETWEEN 1 AND size)) AS bad FROM u)
 SELECT call_id, array_to_string(good, ',') AS cited, array_to_string(bad, ',') AS invalid, CASE WHEN len(bad) = 0 THEN text ELSE
   trim(regexp_replace(regexp_replace(regexp_replace(text, '\[0*(' || array_to_string(bad, '|') || ')\]', '', 'g'), ' {2,}', ' ', 'g'), ' ([.!?,;:])', '\1', 'g'), ' ') END AS resolved_text FROM v""",
+    "answer_cited_excerpts": _GIVEN
+    + r""", m AS (SELECT DISTINCT call_id, given, unnest(regexp_extract_all(text, '\[(\d{1,9})\]', 1))::INT AS marker FROM gs)
+SELECT call_id, marker, given[marker] AS source FROM m WHERE marker BETWEEN 1 AND len(given)""",
     "answer_sentinels": r"""
 SELECT DISTINCT id, starts_with(ltrim(reference_answer), '[NO_ANSWER]') AS refusal,
   contains(CASE WHEN starts_with(ltrim(reference_answer), '[NO_ANSWER]') THEN substr(ltrim(reference_answer), 12) ELSE reference_answer END, '[NO_ANSWER]') AS stray_sentinel,

@@ -13,7 +13,8 @@ NUMBERS = ("request_id", "source", "ts", "provider", "model", "pipeline", "input
 
 
 def _latest(spark: SparkSession, folder: str, *more: str) -> DataFrame:
-    return ledger.latest(table(spark, folder, "metrics", *NUMBERS, *more))
+    """Each key's last write; a latency that is no measurement is NULL."""
+    return ledger.latest(table(spark, folder, "metrics", *NUMBERS, *more)).withColumn("latency_s", ledger.measured())
 
 
 def _summary(group: str):
@@ -42,9 +43,9 @@ def stage_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def latency_definitions(spark: SparkSession, folder: str) -> DataFrame:
     """The three definitions of a 95th percentile and the interpolated median, side by side."""
-    rows = _latest(spark, folder).where("latency_s >= 0").withColumn("model", F.coalesce("model", F.lit("?")))
+    rows = _latest(spark, folder).where("latency_s is not null").withColumn("model", F.coalesce("model", F.lit("?")))
     found = values_at(rows, ("model",), "latency_s", {"low": MEDIAN_LOW, "high": MEDIAN_HIGH, "p95_floor": floor_rank(0.95), "p95_even": even_rank(95)})
-    means = rows.where(~F.isnan("latency_s")).groupBy("model").agg(F.round(F.avg("latency_s"), 6).alias("mean"))
+    means = rows.groupBy("model").agg(F.round(F.avg("latency_s"), 6).alias("mean"))
     return found.join(means, "model").select("model", "n", "mean", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95_floor", "p95_even")
 
 
@@ -70,7 +71,7 @@ def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _latest(spark, folder).where("latency_s >= 0 and not isnan(latency_s) and source = 'api'")
+    rows = _latest(spark, folder).where("latency_s is not null and source = 'api'")
     return rows.agg(F.count("*").alias("n"), F.round(F.min("latency_s"), 4).alias("least"), F.round(F.max("latency_s"), 4).alias("most"), F.round(F.avg("latency_s"), 4).alias("mean"), (F.count_distinct("request_id") == F.count("*")).alias("unique_ids"), F.bool_and(~F.col("error")).alias("all_well"))
 
 
@@ -78,7 +79,7 @@ LATEST = """
 WITH m AS (SELECT *, row_number() OVER (PARTITION BY request_id, source ORDER BY ingest_seq DESC, ts DESC NULLS LAST, provider DESC NULLS LAST, model DESC NULLS LAST,
   pipeline DESC NULLS LAST, input_tokens DESC NULLS LAST, output_tokens DESC NULLS LAST, cost_usd DESC NULLS LAST, latency_s DESC NULLS LAST, refusal DESC NULLS LAST,
   error DESC NULLS LAST, refusal_reason DESC NULLS LAST, coalesce(cardinality(stages), -1) DESC) AS r_ FROM metrics),
-l AS (SELECT * EXCLUDE (r_) FROM m WHERE r_ = 1)
+l AS (SELECT * EXCLUDE (r_) REPLACE (CASE WHEN latency_s >= 0 AND NOT isnan(latency_s) THEN latency_s END AS latency_s) FROM m WHERE r_ = 1)
 """
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.operators import ledger
 from lodestrand.plans.ledger import LATEST
 from lodestrand.session import shared_folder
 from lodestrand.sources.tables import table
@@ -41,7 +42,7 @@ def stream_upsert_ledger(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = _stream(spark, folder, "metrics").select("request_id", "source", "provider", "model", "latency_s", "cost_usd", "ingest_seq")
     streams.drained(streams.upsert(rows, f"{path}/table", f"{path}/log"))
-    return spark.read.parquet(f"{path}/table").drop("part")
+    return spark.read.parquet(f"{path}/table").drop("part").withColumn("latency_s", ledger.measured())
 
 
 def stream_rate_limit(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -68,17 +67,22 @@ def cut_lineage(df: DataFrame, *partition_hint: str) -> DataFrame:
     """Write `df` as a table in the shared folder and return a scan of it.
 
     A lost executor then costs no recomputation, the planner knows the table's size, and each
-    reader prunes columns. A table on a local path is removed when the driver ends.
+    reader prunes columns. The table is removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestrand-{uuid.uuid4().hex}"
     writer = df.repartition(*partition_hint) if partition_hint else df
     writer.write.parquet(path)
-    if path.startswith(("file:", "/")):  # tables on other file systems are left to the cluster's clean-up
-        atexit.register(shutil.rmtree, os.path.normpath(path.removeprefix("file:")), ignore_errors=True)
+    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """The table goes when the application does: through Hadoop, which closes its file systems then, on any of them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the table behind a scan made by `cut_lineage` that nothing reads any more."""
     spark = df.sparkSession
