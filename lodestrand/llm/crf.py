@@ -23,7 +23,9 @@ class Crf:
         return np.array([self.emit[c].sum(axis=0) for c in clauses])
 
     def decode(self, clauses: list[list[int]]) -> list[int]:
-        """The best tags of one sequence (Viterbi); ties go to the lower tag."""
+        """The best tags of one sequence (Viterbi); ties go to the lower tag; none for no clauses."""
+        if not clauses:
+            return []
         s = self.scores(clauses)
         best, back = self.first + s[0], []
         for row in s[1:]:
