@@ -83,6 +83,14 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in as many even parts as the cluster can work on a few times over.
+
+    For work that costs far more time than its rows have bytes, which AQE would coalesce by bytes.
+    """
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the table behind a scan made by `cut_lineage` that nothing reads any more."""
     spark = df.sparkSession
