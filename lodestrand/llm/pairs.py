@@ -35,6 +35,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.crf import Crf
-from lodestrand.session import cut_lineage
+from lodestrand.session import cut_lineage, spread
 
 #: Most pairs the field is fitted on, and the share of them that is drawn from those with an apology or inability.
 SAMPLE, SUSPECT = 4000, 0.25
@@ -107,7 +108,7 @@ def is_empty(text: str | None) -> bool:
 
 
 def words(text: str) -> list[str]:
-    return [w.lower().replace("’", "'") for w in WORDS.findall(MARKED_UP.sub("", text))]
+    return WORDS.findall(MARKED_UP.sub("", text).lower().replace("’", "'"))
 
 
 def phrase(text: str) -> str:
@@ -173,6 +174,7 @@ def overlap(clause: list[str], question: list[str]) -> float:
     return len(question) / len(clause) if whole in text and len(clause) <= len(question) + 2 else 0.0
 
 
+@lru_cache(maxsize=1 << 18)
 def bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode()) % buckets
 
@@ -464,6 +466,7 @@ def sampled(rows: DataFrame, sample: int) -> list[tuple[str, Pair]]:
 
 def fitted(pairs: DataFrame, sample: int = SAMPLE) -> tuple[Crf, Tongues, DataFrame]:
     """The field, the languages' words, and the pairs with `complete`."""
+    pairs = cut_lineage(spread(pairs))
     # Read by each of the counts below, so it is worked out once.
     survey = cut_lineage(pairs.mapInPandas(_survey, SURVEY))
     totals = survey.where("kind <> 'short'").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "abcd"])
@@ -478,7 +481,7 @@ def fitted(pairs: DataFrame, sample: int = SAMPLE) -> tuple[Crf, Tongues, DataFr
     opened = uses.select(F.col("key").alias("opening"), F.col("b").alias("around"))
     share = F.col("a") / (F.col("a") + F.col("b") + F.coalesce("around", F.lit(0)))
     short = short.join(uses, "key").join(opened, "opening", "left").groupBy("pair_id").agg(F.min(share).alias("complete"))
-    rows = cut_lineage(pairs.join(short, "pair_id", "left"))
+    rows = cut_lineage(spread(pairs.join(short, "pair_id", "left")))
     chosen = sampled(rows, sample)
     keys = {k for _, p in chosen for c in clauses(p.response) for k in openings_of(APOLOGY.sub("", c), set(words(p.question)))}
     wanted = pairs.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "key string")  # of the sample's clauses only
