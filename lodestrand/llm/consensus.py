@@ -1,10 +1,16 @@
 """Consensus of several annotators: iteratively reweighted voting with leave-one-out accuracy.
 
-Votes are kept long, one row for each (item, rater, dimension). A round joins the raters'
-weights to the votes, adds up each item's weight per score, takes every vote's own weight out
-again to get the consensus of the others, and turns each rater's smoothed accuracy against that
-into the next weight. All aggregations combine within tasks first, so a busy rater or an item
-that very many raters scored is never gathered in one task.
+Votes are grouped once: a row of the working table has the raters and scores of one item, and an
+item that very many raters scored has several rows of a bounded number of votes. A round reads
+that table, takes every vote's own weight out of its item's totals to get the consensus of the
+others, and adds up each rater's accuracy against it within each batch, so that only a few
+numbers for each rater are shuffled. The accuracy over chance is the rater's next weight. Rounds
+go on until no weight moves; steps get shorter where weights swing, so that this comes about.
+
+A rater's accuracy in a dimension is graded: 1 less the squared distance of a score from the
+others' consensus as a share of the largest possible, after taking out how much stricter or more
+lenient the rater is on all other items (leave-one-out), and smoothed towards chance, which is
+the same for scores drawn at random from the rater's own and the others' consensus from its own.
 
 Defined results: labelers are trimmed and lower-cased, an empty or NULL labeler or item is left
 out; a score that is NULL or outside 1..5 is no vote; exact repeats count once and of several
@@ -15,84 +21,284 @@ lowest score; an empty table gives empty results; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.session import cut_lineage
+from lodestrand.session import cut_lineage, drop_cut, gathered
 
 DIMENSIONS = ("faithfulness", "relevance", "citation_accuracy")
 SCORES = (1, 2, 3, 4, 5)
 #: Pseudo-votes by which an accuracy is drawn to chance.
 SMOOTHING = 4.0
 FLOOR = 0.01
+#: Votes of one item in one row of the working table.
+ROW = 64
+#: Raters whose weights are sent to the tasks; beyond it they are joined to the votes.
+MOST_RATERS = 1_000_000
+
+Names = tuple[str, ...]
+
+
+def ballots(labels: DataFrame, item: str = "example_id", rater: str = "labeler", dimensions: Names = DIMENSIONS) -> DataFrame:
+    """(item, rater, s): a rater's scores of an item by dimension, 0 where there is none."""
+    raw = F.array(*[F.col(d).cast("int") for d in dimensions])
+    rows = labels.select(F.col(item).alias("item"), F.lower(F.trim(rater)).alias("rater"), raw.alias("raw")).where("item is not null and rater <> ''").distinct()
+    counts = [F.array(*[F.count_if(F.col("raw")[i] == s).alias(f"c{i}{s}") for s in SCORES]).alias(f"n{i}") for i in range(len(dimensions))]
+
+    def usual(counted: str) -> Column:
+        return F.when(F.array_max(counted) > 0, F.array_position(counted, F.array_max(counted)).cast("int")).otherwise(0)
+
+    return rows.groupBy("item", "rater").agg(*counts).select("item", "rater", F.array(*[usual(f"n{i}") for i in range(len(dimensions))]).alias("s"))
 
 
-def votes(labels: DataFrame, item: str = "example_id", rater: str = "labeler", dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+def votes(labels: DataFrame, item: str = "example_id", rater: str = "labeler", dimensions: Names = DIMENSIONS) -> DataFrame:
     """(item, rater, dimension, score): one valid score each."""
-    scores = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("int").alias("score")) for d in dimensions])
-    long = labels.select(F.col(item).alias("item"), F.lower(F.trim(rater)).alias("rater"), scores.alias("s")).where("item is not null and rater <> ''")
-    long = long.distinct().select("item", "rater", F.explode("s").alias("s")).select("item", "rater", "s.*")
-    counted = long.where(F.col("score").between(SCORES[0], SCORES[-1])).groupBy("item", "rater", "dimension", "score").agg(F.count("*").alias("n"))
-    return counted.groupBy("item", "rater", "dimension").agg(F.max(F.struct("n", (-F.col("score")).alias("s"))).alias("m")).select("item", "rater", "dimension", (-F.col("m.s")).alias("score"))
+    names = F.array(*map(F.lit, dimensions))
+    long = ballots(labels, item, rater, dimensions).select("item", "rater", F.posexplode("s").alias("at", "score")).where("score > 0")
+    return long.select("item", "rater", F.element_at(names, F.col("at") + 1).alias("dimension"), "score")
+
+
+def grouped(cast: DataFrame, row: int = ROW) -> DataFrame:
+    """(item, part, many, r, s): the raters, by a hash of their names, and scores of an item, about `row` in a row at most."""
+    keyed = cast.withColumn("r", F.xxhash64("rater"))
+    many = keyed.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > row)
+    placed = keyed.join(many, "item", "left").withColumn("part", F.when(F.col("n").isNull(), 0).otherwise(F.pmod("r", F.ceil(F.col("n") / row))))
+    rows = placed.groupBy("item", "part").agg(F.collect_list(F.struct("r", "s")).alias("v"), F.first("n").isNotNull().alias("many"))
+    return rows.select("item", "part", "many", F.col("v.r").alias("r"), F.flatten("v.s").alias("s"))
+
+
+def _with_weights(rows: DataFrame, weights: DataFrame, most: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
+    """The rows, and the weights by rater if they are few; else the rows have them in `w`."""
+    few = gathered(weights.select("r", "w"), most)
+    if few is not None:
+        few.sort(key=lambda x: x.r)
+        return rows.withColumn("w", F.lit(None).cast("array<double>")), (np.array([x.r for x in few], np.int64), np.array([x.w for x in few], float))
+    long = rows.select("item", "part", "many", F.explode(F.arrays_zip("r", F.sequence(F.lit(0), F.size("r") - 1).alias("i"))).alias("v"), F.col("s"))
+    wide = F.size("s") / F.count("*").over(_window("item", "part"))
+    long = long.withColumn("d", wide.cast("int")).select("item", "part", "many", F.col("v.r").alias("r"), F.expr("slice(s, v.i * d + 1, d)").alias("s"))
+    again = long.join(weights.select("r", "w"), "r").groupBy("item", "part", "many").agg(F.collect_list(F.struct("r", "s", "w")).alias("v"))
+    return again.select("item", "part", "many", F.col("v.r").alias("r"), F.flatten("v.s").alias("s"), F.flatten("v.w").alias("w")), None
+
+
+def _window(*keys: str):
+    from pyspark.sql import Window
 
+    return Window.partitionBy(*keys)
 
-def _weighted(votes_: DataFrame, weights: DataFrame) -> DataFrame:
-    return votes_.join(weights, ["rater", "dimension"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
+def _flat(batch: pd.DataFrame, weights: tuple[np.ndarray, np.ndarray] | None, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all votes of a batch: row, rater, scores and weights, which are 0 where there is no score."""
+    at = np.repeat(np.arange(len(batch)), batch["r"].map(len).to_numpy())
+    r = np.concatenate(batch["r"].to_list()).astype(np.int64)
+    s = np.concatenate(batch["s"].to_list()).astype(np.int64).reshape(-1, d)
+    w = np.concatenate(batch["w"].to_list()).reshape(-1, d) if weights is None else weights[1][np.searchsorted(weights[0], r)]
+    return at, r, s, np.where(s > 0, w, 0.0)
 
-def _totals(weighted: DataFrame) -> DataFrame:
-    """Each item's weight per score, their sums and its number of votes."""
-    per = [F.sum(F.when(F.col("score") == s, F.col("weight")).otherwise(0.0)).alias(f"w{s}") for s in SCORES]
-    return weighted.groupBy("item", "dimension").agg(*per, F.count("*").alias("raters"))
 
+def _totals(at: np.ndarray, s: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+    """(row, dimension, score): the weight of each score of each row, and behind the scores the number of votes."""
+    d, k = s.shape[1], len(SCORES) + 1
+    flat = (at[:, None] * d + np.arange(d)) * k
+    scored = s > 0
+    sums = np.bincount((flat + s - 1)[scored], w[scored], rows * d * k) + np.bincount((flat + k - 1)[scored], minlength=rows * d * k)
+    return sums.reshape(rows, d, k)
 
-def _others(weighted: DataFrame) -> DataFrame:
-    """Each vote with the others' consensus score and mean; only items with another rater."""
-    joined = weighted.join(_totals(weighted), ["item", "dimension"]).where("raters > 1")
-    rest = [F.when(F.col("score") == s, F.greatest(F.col(f"w{s}") - F.col("weight"), F.lit(0.0))).otherwise(F.col(f"w{s}")) for s in SCORES]
-    best = F.expr("aggregate(slice(rest, 2, 4), struct(rest[0] as w, 1 as s, 1 as at), (a, x) -> if(x > a.w + 1e-9, struct(x as w, a.at + 1 as s, a.at + 1 as at), struct(a.w as w, a.s as s, a.at + 1 as at))).s")
-    mean = sum((s * r for s, r in zip(SCORES, rest, strict=True)), F.lit(0.0)) / sum(rest, F.lit(0.0))
-    return joined.withColumn("rest", F.array(*rest)).select("item", "rater", "dimension", "score", best.alias("others"), mean.alias("others_mean"))
 
+def _item_totals(weights: tuple | None, d: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                at, _, s, w = _flat(batch, weights, d)
+                yield pd.DataFrame({"item": batch["item"], "totals": list(_totals(at, s, w, len(batch)).reshape(len(batch), -1))})
 
-def reliability(labels: DataFrame, rounds: int = 12, tolerance: float = 1e-3, **names) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Alternate consensus and leave-one-out accuracy until no weight moves by `tolerance`.
+    return run
 
-    Returns the votes, the final weights (rater, dimension, weight) and the raters' measures:
-    (rater, dimension, votes, accuracy, follow, weight). accuracy is the smoothed share of votes
-    equal to the others' weighted consensus; weight is its excess over chance; follow is the
-    correlation with the others' weighted mean, a chance-corrected agreement that does not punish
-    a strict or lenient hand, and 0 for a rater whose scores never change.
+
+#: What is added up for each rater and dimension: votes with others, scores, their squares, the others' mean, its square, the product, hits.
+SUMS = ("n", "s", "ss", "c", "cc", "sc", "hits")
+
+
+def _against_others(weights: tuple | None, d: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            at, r, s, w = _flat(batch, weights, d)
+            totals = _totals(at, s, w, len(batch))
+            given = batch["whole"].notna().to_numpy()
+            if given.any():
+                totals[given] = np.stack(batch.loc[given, "whole"].to_list()).reshape(-1, d, len(SCORES) + 1)
+            raters, code = np.unique(r, return_inverse=True)
+            out = {"r": raters}
+            for j in range(d):
+                scored = (s[:, j] > 0) & (totals[at, j, -1] > 1)
+                rest = totals[at[scored], j, :-1].copy()
+                own, weight = s[scored, j], w[scored, j]
+                rest[np.arange(len(own)), own - 1] -= weight
+                rest = np.maximum(rest, 0.0)
+                whole = rest.sum(axis=1)
+                mean = rest @ np.array(SCORES, float) / np.where(whole > 0, whole, 1.0)
+                hit = np.round(rest, 9).argmax(axis=1) + 1 == own
+                own = own.astype(float)
+                values = (np.ones(len(own)), own, own * own, mean, mean * mean, own * mean, hit.astype(float))
+                for name, value in zip(SUMS, values, strict=True):
+                    out[f"{name}{j}"] = np.bincount(code[scored], value, len(raters))
+            yield pd.DataFrame(out)
+
+    return run
+
+
+def _sums(rows: DataFrame, weights: DataFrame, d: int, most: int, many: bool) -> DataFrame:
+    """(r, *sums by dimension) of each rater against the weighted consensus of the others.
+
+    `many` tells whether the votes of some item stand in several rows.
     """
-    cast = cut_lineage(votes(labels, **names))
-    chance = 1.0 / len(SCORES)
-    weights = cut_lineage(cast.select("rater", "dimension").distinct().withColumn("weight", F.lit(1.0)))
-    for _ in range(rounds):
-        others = _others(_weighted(cast, weights))
-        hits = F.sum((F.col("score") == F.col("others")).cast("double"))
-        accuracy = (hits + SMOOTHING * chance) / (F.count("*") + SMOOTHING)
-        new = others.groupBy("rater", "dimension").agg(accuracy.alias("accuracy"))
-        new = new.select("rater", "dimension", F.greatest((F.col("accuracy") - chance) / (1 - chance), F.lit(FLOOR)).alias("weight"))
-        new = cut_lineage(weights.select("rater", "dimension", F.col("weight").alias("old")).join(new, ["rater", "dimension"], "left").withColumn("weight", F.coalesce("weight", F.lit(FLOOR))))
-        moved = new.agg(F.max(F.abs(F.col("weight") - F.col("old"))).alias("m")).first()["m"]
-        weights = new.drop("old")
+    ready, sent = _with_weights(rows, weights, most)
+    if not many:
+        ready = ready.withColumn("whole", F.lit(None).cast("array<double>"))
+    else:
+        parts = ready.where("many").mapInPandas(_item_totals(sent, d), "item string, totals array<double>")
+        size = d * (len(SCORES) + 1)
+        sums = parts.groupBy("item").agg(F.array(*[F.sum(F.col("totals")[i]).alias(str(i)) for i in range(size)]).alias("whole"))
+        ready = ready.join(sums, "item", "left")
+    columns = [f"{n}{j}" for j in range(d) for n in SUMS]
+    found = ready.mapInPandas(_against_others(sent, d), "r long, " + ", ".join(f"{c} double" for c in columns))
+    return found.groupBy("r").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def graded(sums: pd.DataFrame, j: int) -> pd.DataFrame:
+    """From the sums of dimension j: accuracy, chance, the excess over chance and its error under chance, follow and hits."""
+    n, s, ss, c, cc, sc, hits = (sums[f"{x}{j}"].to_numpy(float) for x in SUMS)
+    votes_ = np.maximum(n, 1.0)
+    vs, vc, cov = np.maximum(ss / votes_ - (s / votes_) ** 2, 0), np.maximum(cc / votes_ - (c / votes_) ** 2, 0), sc / votes_ - s * c / votes_**2
+    # Leaving a vote out of its rater's offset stretches its distance by n / (n - 1), by chance or not.
+    stretch = (n / np.maximum(n - 1, 1)) ** 2 / (SCORES[-1] - SCORES[0]) ** 2
+    chance, plain = 1 - (vs + vc) * stretch, 1 - (vs + vc - 2 * cov) * stretch
+    accuracy = (n * plain + SMOOTHING * chance) / (n + SMOOTHING)
+    # A rater whose scores never change follows nobody.
+    told = (vs > 1e-12) & (vc > 1e-12)
+    excess = np.where(told, (accuracy - chance) / np.where(told, (vs + vc) * stretch, 1), 0.0)
+    error = np.where(told, n / (n + SMOOTHING) * 2 * np.sqrt(vs * vc) / np.where(told, vs + vc, 1), 1.0) / np.sqrt(votes_)
+    follow = np.where(told, cov / np.sqrt(np.where(told, vs * vc, 1)), 0.0)
+    return pd.DataFrame({"votes": n.astype(np.int64), "accuracy": accuracy, "chance": chance, "excess": excess, "error": error, "hits": hits / votes_, "follow": follow})
+
+
+def _moved(d: int, step: float):
+    """From (r, w, sums) to (r, w, moved): each weight gone `step` of the way to the accuracy over chance."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        old = np.array(frame["w"].to_list(), float).reshape(-1, d)
+        sums = frame.fillna({c: 0.0 for c in frame.columns if c not in ("r", "w")})
+        aim = np.stack([np.maximum(graded(sums, j)["excess"], FLOOR) for j in range(d)], axis=1)
+        new = old + step * (aim - old)
+        return pd.DataFrame({"r": frame["r"].to_numpy(), "w": list(new), "moved": np.abs(new - old).max(axis=1, initial=0.0)})
+
+    return run
+
+
+def converged(rows: DataFrame, raters: DataFrame, d: int, many: bool, tolerance: float = 1e-3, rounds: int | None = None, most: int = MOST_RATERS) -> DataFrame:
+    """(r, w): each rater's weights by dimension, alternating consensus and accuracy until none moves by `tolerance`.
+
+    Whenever the moves don't shrink by a tenth, steps are halved, so that weights that swing come
+    to rest too. `rounds` stops early; it is for tests.
+    """
+    spark = rows.sparkSession
+    weights = cut_lineage(raters.select("r", F.array_repeat(F.lit(1.0), d).alias("w")))
+    few = gathered(weights.select("r"), most) is not None
+    step, before, turn = 1.0, math.inf, 0
+    while rounds is None or turn < rounds:
+        state = weights.join(_sums(rows, weights, d, most, many), "r", "left")
+        if few:  # a few numbers for each of at most `most` raters
+            new = _moved(d, step)(state.toPandas())
+            moved = new["moved"].max() if len(new) else None
+            after = spark.createDataFrame(list(zip(new["r"].tolist(), [w.tolist() for w in new["w"]], strict=True)), "r long, w array<double>")
+        else:
+            run = _moved(d, step)
+            after = cut_lineage(state.mapInPandas(lambda batches, run=run: map(run, batches), "r long, w array<double>, moved double"))
+            moved = after.agg(F.max("moved")).first()[0]
+            drop_cut(weights)
+            after = after.drop("moved")
+        weights, turn = after, turn + 1
         if moved is None or moved < tolerance:
             break
-    x, y = F.col("score").cast("double"), F.col("others_mean")
-    measures = _others(_weighted(cast, weights)).groupBy("rater", "dimension").agg(
-        F.count("*").alias("votes"),
-        ((F.sum((F.col("score") == F.col("others")).cast("double")) + SMOOTHING * chance) / (F.count("*") + SMOOTHING)).alias("accuracy"),
-        F.when((F.var_pop(x) > 1e-12) & (F.var_pop(y) > 1e-12), F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y))).otherwise(0.0).alias("follow"),
+        step, before = (step / 2 if moved > 0.9 * before else step), moved
+    return weights
+
+
+def _prepared(labels: DataFrame, item: str, rater: str, dimensions: Names, row: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The working table, the raters (r, rater, items), and whether an item has several rows."""
+    cast = cut_lineage(ballots(labels, item, rater, dimensions).where("exists(s, x -> x > 0)"))
+    raters = cut_lineage(cast.groupBy("rater").agg(F.count("*").alias("items")).withColumn("r", F.xxhash64("rater")))
+    rows = cut_lineage(grouped(cast, row))
+    drop_cut(cast)
+    return rows, raters, not rows.where("many").isEmpty()
+
+
+MEASURES = "dimension string, votes long, accuracy double, chance double, excess double, error double, hits double, follow double, weight double"
+
+
+def _reports(dimensions: Names):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for j, name in enumerate(dimensions):
+                out = pd.concat([batch[["rater", "items"]].reset_index(drop=True), graded(batch, j)], axis=1)
+                out.insert(2, "dimension", name)
+                out["weight"] = [w[j] for w in batch["w"]]
+                yield out[out["votes"] > 0]
+
+    return run
+
+
+def reliability(labels: DataFrame, item: str = "example_id", rater: str = "labeler", dimensions: Names = DIMENSIONS, row: int = ROW, most: int = MOST_RATERS, **options) -> DataFrame:
+    """(rater, items, dimension, votes, accuracy, chance, excess, error, hits, follow, weight).
+
+    votes are those on items that others scored too; excess is accuracy over chance as a share of
+    what is possible; error is its standard error if there is nothing but chance; hits the share
+    of scores equal to the others' consensus; follow the correlation with the others' mean.
+    """
+    rows, raters, many = _prepared(labels, item, rater, dimensions, row)
+    weights = converged(rows, raters, len(dimensions), many, most=most, **options)
+    sums = _sums(rows, weights, len(dimensions), most, many)
+    return raters.join(weights, "r").join(sums, "r").mapInPandas(_reports(dimensions), "rater string, items long, " + MEASURES)
+
+
+#: Unreliable: accuracy over chance below so many of its errors, or this share of what is possible, in each dimension and on the mean of all.
+ERRORS, LEAST, MEAN_ERRORS, MEAN_LEAST = 2.2, 0.25, 2.1, 0.15
+
+
+def unreliable(labels: DataFrame, least_items: int = 15, dimensions: Names = DIMENSIONS, **options) -> DataFrame:
+    """(rater, items, most, mean): raters of at least `least_items` items who follow the others in no dimension.
+
+    A rater is reported if the leave-one-out accuracy is not above chance: in each dimension by
+    less than `ERRORS` of its standard errors (or `LEAST`), and on the mean of the dimensions,
+    which is steadier, by less than `MEAN_ERRORS` (or `MEAN_LEAST`). A dimension without votes
+    counts as chance.
+    """
+    measures = reliability(labels, dimensions=dimensions, **options)
+    d = len(dimensions)
+    low = F.col("excess") < F.greatest(F.lit(LEAST), ERRORS * F.col("error"))
+    by = measures.where(F.col("items") >= least_items).groupBy("rater", "items").agg(
+        F.max("excess").alias("most"), (F.sum("excess") / d).alias("mean"), F.bool_and(low).alias("low"), (F.sqrt(F.sum(F.col("error") * F.col("error"))) / d).alias("error")
     )
-    return cast, weights, measures.join(weights, ["rater", "dimension"])
+    return by.where(F.col("low") & (F.col("mean") < F.greatest(F.lit(MEAN_LEAST), MEAN_ERRORS * F.col("error")))).select("rater", "items", "most", "mean")
 
 
-def consensus(labels: DataFrame, **options) -> DataFrame:
+def consensus(labels: DataFrame, item: str = "example_id", rater: str = "labeler", dimensions: Names = DIMENSIONS, row: int = ROW, most: int = MOST_RATERS, **options) -> DataFrame:
     """(item, dimension, consensus, confidence, raters): confidence is the winner's share of the weight."""
-    cast, weights, _ = reliability(labels, **options)
-    totals = _totals(_weighted(cast, weights))
-    ranked = F.array_sort(F.array(*[F.struct((-F.round(F.col(f"w{s}"), 9)).alias("w"), F.lit(s).alias("s")) for s in SCORES]))[0]
-    return totals.select("item", "dimension", ranked["s"].alias("consensus"), (-ranked["w"] / sum((F.col(f"w{s}") for s in SCORES), F.lit(0.0))).alias("confidence"), "raters")
+    rows, raters, many = _prepared(labels, item, rater, dimensions, row)
+    d, k = len(dimensions), len(SCORES) + 1
+    ready, sent = _with_weights(rows, converged(rows, raters, d, many, most=most, **options), most)
+    parts = ready.mapInPandas(_item_totals(sent, d), "item string, totals array<double>")
+    sums = parts.groupBy("item").agg(F.array(*[F.sum(F.col("totals")[i]).alias(str(i)) for i in range(d * k)]).alias("t"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), F.slice("t", j * k + 1, k - 1).alias("w"), F.col("t")[j * k + k - 1].cast("long").alias("raters")) for j, name in enumerate(dimensions)]))
+    long = sums.select("item", each.alias("x")).select("item", "x.*").where("raters > 0").withColumn("w", F.transform("w", lambda x: F.round(x, 9)))
+    best = F.array_max("w")
+    return long.select("item", "dimension", F.array_position("w", best).cast("int").alias("consensus"), (best / F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("confidence"), "raters")
 
 
 def agreement(labels: DataFrame, **names) -> DataFrame:
@@ -116,19 +322,3 @@ def agreement(labels: DataFrame, **names) -> DataFrame:
         F.when(expected > 0, 1 - F.col("d") / expected).alias("alpha_interval"),
         F.when(n - chance > 1e-9, (F.col("a") - chance) / (n - chance)).alias("alpha_nominal"),
     )
-
-
-def unreliable(labels: DataFrame, least_items: int = 15, item: str = "example_id", rater: str = "labeler", dimensions: tuple[str, ...] = DIMENSIONS, **options) -> DataFrame:
-    """Raters of at least `least_items` items who follow the others in no dimension.
-
-    Under chance a correlation over n votes has a deviation of about 1/sqrt(n). A rater is
-    reported if each dimension's lies below 2.2 of them (at least 0.25) and the mean of all
-    dimensions, which is steadier, below 1.2 (at least 0.15). A dimension without votes counts as 0.
-    """
-    names = {"item": item, "rater": rater, "dimensions": dimensions}
-    cast, _, measures = reliability(labels, **names, **options)
-    labelled = cast.groupBy("rater").agg(F.count_distinct("item").alias("items"))
-    follow = measures.groupBy("rater").agg(F.max("follow").alias("most"), (F.sum("follow") / len(dimensions)).alias("mean"), F.max("votes").alias("n"))
-    n = F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))
-    low = (F.col("most") < F.greatest(F.lit(0.25), 2.2 / n)) & (F.col("mean") < F.greatest(F.lit(0.15), 1.2 / n))
-    return labelled.where(F.col("items") >= least_items).join(follow, "rater").where(low).select("rater", "items", "most", "mean")

@@ -38,7 +38,7 @@ def p2_consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_reliability(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.reliability(table(spark, folder, "labels"))[2].withColumnRenamed("rater", "labeler")
+    return consensus.reliability(table(spark, folder, "labels")).withColumnRenamed("rater", "labeler")
 
 
 def p2_agreement(spark: SparkSession, folder: str) -> DataFrame:
