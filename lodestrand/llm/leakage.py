@@ -8,8 +8,9 @@ shares seed next to nothing. Edited copies need not hold such a run, so where th
 n-gram up to a share of the documents (`every`) is a seed as well. Regions and items that share
 a seed are aligned.
 
-The items' n-grams filter the corpus inside the scan as long as they are few (`most_grams`, counted
-before); beyond that every n-gram of the corpus goes into the same join instead.
+The items' n-grams filter the corpus inside the scan. Items are taken in blocks of about
+`most_grams` n-grams, one scan for each block, so that what a task holds is bounded and results
+are the same for any number of items.
 
 Words are runs of letters and digits after compatibility composition, case folding and removal
 of invisible characters, for documents and items alike.
@@ -21,8 +22,10 @@ tables give an empty result; columns beside the named ones are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,9 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.session import cut_lineage, gathered
+from lodestrand.session import cut_lineage, spread
 
 GRAM, RUN = 6, 12
+#: N-grams of items that one scan of the corpus looks for.
 MOST_GRAMS = 2_000_000
 #: Share of the documents, and number of them in any case, up to which every n-gram of an item seeds edited copies.
 EVERY, EVERY_DOCS = 0.01, 100
@@ -109,19 +113,15 @@ class _Vocabulary:
 REGIONS = "doc string, first int, words array<string>, positions array<int>, grams array<long>"
 
 
-def _regions(vocabulary: _Vocabulary | None, n: int, margin: int):
-    """The regions of each document around the items' n-grams; whole documents without a vocabulary."""
+def _regions(vocabulary: _Vocabulary, n: int, margin: int):
+    """The regions of each document around the items' n-grams."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["id"], batch["text"], strict=True):
                 words = normal_words(text)
-                if vocabulary:
-                    at, keys = vocabulary.hits(words)
-                else:
-                    keys = gram_keys(words, n)
-                    at = np.arange(len(keys))
+                at, keys = vocabulary.hits(words)
                 if not len(at):
                     continue
                 breaks = np.flatnonzero(np.diff(at) > 2 * margin) + 1
@@ -174,36 +174,49 @@ def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
     return best, spans, longest
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, item, words, own in zip(batch["doc"], batch["item"], batch["words"], batch["own"], strict=True):
-            score, span, longest = align(list(own), list(words))
-            rows.append((doc, item, score, span, longest, len(own)))
-        yield pd.DataFrame(rows, columns=["doc", "item", "score", "span", "run", "words"])
+def _aligned(least: float):
+    """Alignments of each region and item; those whose common words can't make up `least` of a full score are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, item, words, own in zip(batch["doc"], batch["item"], batch["words"], batch["own"], strict=True):
+                own, words = list(own), list(words)
+                # No alignment matches more words than both have in common.
+                if least and (Counter(own) & Counter(words)).total() < least * len(own):
+                    continue
+                score, span, longest = align(own, words)
+                if score >= least * MATCH * len(own):
+                    rows.append((doc, item, score, span, longest, len(own)))
+            yield pd.DataFrame(rows, columns=["doc", "item", "score", "span", "run", "words"])
+
+    return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM, run: int = RUN, most_grams: int = MOST_GRAMS, every: float | None = None) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM, run: int = RUN, most_grams: int = MOST_GRAMS, every: float | None = None, least: float = 0.0) -> DataFrame:
     """(doc, item, score, span, run, words): the best alignment of each document and item that share a seed.
 
     score is the Smith-Waterman score (2 a match, -1 a mismatch or gap), span the words of the item
     that the alignment covers, run the longest run of equal words, words the item's length. With `every`, n-grams found in at most
     that share of the documents (or `EVERY_DOCS`) are seeds too, beside the rarest of each window.
+    Alignments below the share `least` of a full copy's score are left out.
     """
     if gram > run:
         raise ValueError("an n-gram must not be longer than the run it seeds")
     wanted = items.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct()
     held = cut_lineage(wanted.mapInPandas(_item_words(gram), "item string, words array<string>, grams array<long>"))
     grams = held.select("item", F.posexplode("grams").alias("at", "gram"))
-    bounds = held.agg(F.sum(F.size("words")).alias("n"), F.max(F.size("words")).alias("most")).first()
-    vocabulary = None
-    if (bounds.n or 0) <= most_grams:
-        keys = gathered(grams.select("gram").distinct(), most_grams)
-        known = gathered(held.select(F.explode("words").alias("w")).distinct(), most_grams)
-        if keys is not None and known is not None:
-            vocabulary = _Vocabulary(np.array([r.gram for r in keys] or [-1], np.int64), {r.w for r in known}, gram)
+    bounds = held.agg(F.sum(F.size("grams")).alias("n"), F.max(F.size("words")).alias("most")).first()
+    blocks = max(1, math.ceil((bounds.n or 0) / max(1, most_grams)))
+    held = held.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     texts = documents.select(F.col(doc).cast("string").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null")
-    regions = cut_lineage(texts.mapInPandas(_regions(vocabulary, gram, max(run, bounds.most or 0)), REGIONS))
+    regions = None
+    for block in range(blocks):
+        own = held.where(F.col("block") == block)
+        keys, known = (own.select(F.explode(c).alias("x")).distinct().collect() for c in ("grams", "words"))  # about `most_grams` at most
+        vocabulary = _Vocabulary(np.array([r.x for r in keys] or [-1], np.int64), {r.x for r in known}, gram)
+        found = cut_lineage(texts.mapInPandas(_regions(vocabulary, gram, max(run, bounds.most or 0)), REGIONS)).withColumn("block", F.lit(block).cast("long"))
+        regions = found if regions is None else regions.unionByName(found)
     seen = regions.select("doc", F.explode("grams").alias("gram"))
     frequency = seen.join(grams.select("gram").distinct(), "gram", "left_semi").distinct().groupBy("gram").agg(F.count("*").alias("docs"))
     if every is not None:
@@ -212,11 +225,12 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
     if every is not None:
         most = max(EVERY_DOCS, every * texts.count())
         seeds = seeds.unionByName(grams.join(frequency.where(F.col("docs") <= most), "gram", "left_semi").select("item", "gram"))
-    seeds = seeds.distinct()
-    region = F.xxhash64("doc", "first", "words").alias("region")
-    found = regions.select("doc", region, F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, "gram").select("doc", "region", "item").distinct()
+    seeds = seeds.join(held.select("item", "block"), "item").distinct()
+    region = F.xxhash64("doc", "first", "words", "block").alias("region")
+    found = regions.select("doc", region, "block", F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, ["block", "gram"]).select("doc", "region", "item").distinct()
     pairs = found.join(regions.select("doc", region, "words").distinct(), ["doc", "region"]).join(held.select("item", F.col("words").alias("own")), "item")
-    best = pairs.mapInPandas(_aligned, "doc string, item string, score int, span int, run int, words int")
+    # An alignment takes far longer than its bytes tell.
+    best = spread(pairs).mapInPandas(_aligned(least), "doc string, item string, score int, span int, run int, words int")
     return best.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max_by("span", F.struct("score", "span")).alias("span"), F.max("run").alias("run"), F.max("words").alias("words"))
 
 

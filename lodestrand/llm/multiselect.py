@@ -27,6 +27,10 @@ from lodestrand.session import cut_lineage, drop_cut
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 #: Relative error of the values of a combined summary.
 ERROR = 0.01
+#: Values a target's range may still hold when they are sorted instead of counted; with 0 all targets are counted to the end.
+FINISH = 500
+#: Sets of partitions whose medians are merged before all are.
+FAN = 64
 
 
 def last_writes(metrics: DataFrame, key: tuple[str, ...] = ("request_id", "source"), order: str = "ingest_seq", keep: tuple[str, ...] = ("provider", "pipeline", "latency_s", "ts")) -> DataFrame:
@@ -53,20 +57,33 @@ def _rank(p: Column, n: Column) -> Column:
 
 def _weighted_median(proposals: str) -> Column:
     """Of an array of (v, w): the least v with half of all weight at or below it. NULL if empty."""
-    half = f"aggregate({proposals}, cast(0 as bigint), (a, x) -> a + x.w) / 2.0"
-    step = f"(a, x) -> struct(a.w + x.w as w, if(a.v is null and a.w + x.w >= {half}, x.v, a.v) as v)"
-    return F.expr(f"aggregate(array_sort({proposals}), struct(cast(0 as bigint) as w, cast(null as double) as v), {step}).v")
+    # The total is worked out once, outside the walk along the sorted proposals.
+    half = f"array(aggregate({proposals}, cast(0 as bigint), (a, x) -> a + x.w) / 2.0)"
+    step = "(a, x) -> struct(a.w + x.w as w, if(a.v is null and a.w + x.w >= half, x.v, a.v) as v)"
+    return F.expr(f"transform({half}, half -> aggregate(array_sort({proposals}), struct(cast(0 as bigint) as w, cast(null as double) as v), {step}).v)[0]")
 
 
 def _proposals(median: str, count: str) -> Column:
-    """The partitions' medians with their weights; at most one for each partition."""
+    """Medians with their weights."""
     return F.collect_list(F.when(F.col(count) > 0, F.struct(F.col(median).alias("v"), F.col(count).alias("w"))))
 
 
+def _merged(local: DataFrame, keys: tuple[str, ...], counts: tuple[str, ...], medians: dict[str, str]) -> DataFrame:
+    """The partitions' counts added up, and the weighted median of their medians by `medians` (median: its count).
+
+    In two steps, by `FAN` sets of partitions first, so that no array grows with all partitions.
+    """
+    local = local.withColumn("part", F.pmod("part", F.lit(FAN)))
+    for by in ((*keys, "part"), keys):
+        sums = local.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts], *[_proposals(m, c).alias(m) for m, c in medians.items()])
+        local = sums.select(*by, *counts, *[_weighted_median(m).alias(m) for m in medians])
+    return local
+
+
 def _start(rows: DataFrame, at: tuple[float, ...]) -> DataFrame:
     """The targets: rank k among the `left` values between lo and hi, both outside; pivot; found."""
     local = rows.groupBy(F.spark_partition_id().alias("part"), "g").agg(F.count("*").alias("n"), F.percentile_approx("v", 0.5, 500).alias("m"))
-    groups = local.groupBy("g").agg(F.sum("n").alias("n"), _proposals("m", "n").alias("ms")).select("g", "n", _weighted_median("ms").alias("pivot"))
+    groups = _merged(local, ("g",), ("n",), {"m": "n"}).withColumnRenamed("m", "pivot")
     targets = groups.select("g", "n", "pivot", F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(at))])).alias("p"))
     return targets.select("g", "p", "n", F.lit(-math.inf).alias("lo"), F.lit(math.inf).alias("hi"), _rank(F.col("p"), F.col("n")).alias("k"), F.col("n").alias("left"), "pivot", F.lit(None).cast("double").alias("found"))
 
@@ -83,10 +100,7 @@ def _turn(live: DataFrame, state: DataFrame, finish: int) -> DataFrame:
         F.percentile_approx(F.when(v < pivot, v), 0.5, 500).alias("lt_m"),
         F.percentile_approx(F.when(v > pivot, v), 0.5, 500).alias("gt_m"),
     )
-    both = local.groupBy("g", "lo", "hi").agg(
-        F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), F.sum("gt").alias("gt"), _proposals("lt_m", "lt").alias("lt_ms"), _proposals("gt_m", "gt").alias("gt_ms")
-    )
-    counted = both.select("g", "lo", "hi", "lt", "eq", "gt", _weighted_median("lt_ms").alias("lt_pivot"), _weighted_median("gt_ms").alias("gt_pivot"))
+    counted = _merged(local, ("g", "lo", "hi"), ("lt", "eq", "gt"), {"lt_m": "lt", "gt_m": "gt"}).withColumnsRenamed({"lt_m": "lt_pivot", "gt_m": "gt_pivot"})
     k = F.col("k")
     side = F.when(F.col("lt").isNull() | F.col("found").isNotNull(), "stay").when(k <= F.col("lt"), "lt").when(k <= F.col("lt") + F.col("eq"), "eq").otherwise("gt")
     on = lambda name, new, old: F.when(F.col("side") == name, new).otherwise(old)
@@ -115,7 +129,7 @@ def _sorted_out(live: DataFrame, state: DataFrame) -> DataFrame:
     return values.select("g", "p", F.expr(f"aggregate(vs, struct(cast(0 as bigint) as c, cast(null as double) as v), {step}).v").alias("late"))
 
 
-def percentiles(df: DataFrame, groups: tuple[str, ...], value: str = "value", at: tuple[float, ...] = PERCENTILES, finish: int = 20_000) -> DataFrame:
+def percentiles(df: DataFrame, groups: tuple[str, ...], value: str = "value", at: tuple[float, ...] = PERCENTILES, finish: int = FINISH) -> DataFrame:
     """(*groups, percentile, value, values): exact; `values` is the group's number of values.
 
     Infinite values and NaN are left out with NULL. `finish` bounds what one task sorts.

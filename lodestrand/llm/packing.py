@@ -18,13 +18,15 @@ equal rows too; an empty table gives no containers; columns beside the named one
 from __future__ import annotations
 
 import base64
+import os
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.session import cut_lineage
@@ -33,17 +35,26 @@ CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split before merges that belongs to this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SHIPPED: dict[str, set[str]] = {}
 BUCKET = 256
 #: Most steps of the search in a bucket; the best packing found until then stands.
 STEPS = 6000
 FULL = 0.98
 
 
+def _ship_vocabulary(spark: SparkSession, vocabulary: str) -> None:
+    if vocabulary not in _SHIPPED.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(vocabulary)
+        _SHIPPED[spark.sparkContext.applicationId].add(vocabulary)
+
+
 @lru_cache(maxsize=2)
 def encoding(vocabulary: str):
+    """The encoding of a vocabulary file, taken from what Spark sent to this worker where there is such a file."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
+    sent = SparkFiles.get(os.path.basename(vocabulary)) if SparkFiles._is_running_on_worker else vocabulary
+    with open(sent if os.path.exists(sent) else vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -122,40 +133,37 @@ def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(rest: list[int], sizes: list[int], room: int, spare: int, budget: list[int], most: int = 4) -> list[tuple[int, list[int]]]:
-    """(waste, chosen places of `rest`) of undominated fillings of `room`, the fullest first.
+def _fillings(values: list[int], room: int, spare: int, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, chosen places of `values`) of all undominated fillings of `room`, those with little waste first.
 
-    `rest` holds items in falling order of size. A filling is dominated if another item still
-    fits, or fits in the place of a smaller chosen one. At most `spare` may be wasted.
+    `values` fall in size. A filling is dominated if another item still fits, or fits in the place
+    of a smaller chosen one. At most `spare` may be wasted. The search is taken up anew for each
+    band of waste, so that full fillings come first without listing all; it ends with the budget.
     """
-    values = [sizes[i] for i in rest]
     n = len(values)
     behind = [0] * (n + 1)
     for k in range(n - 1, -1, -1):
         behind[k] = behind[k + 1] + values[k]
     falling = [-v for v in values]
-    found: list[tuple[int, list[int]]] = []
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    steps = 0
-    while stack and budget[0] > 0 and steps < 600:
-        at, left, chosen = stack.pop()
-        budget[0] -= 1
-        steps += 1
-        at = max(at, bisect_left(falling, -left))
-        if at == n or not left:
-            if left <= spare and not _dominated(values, chosen, left):
-                found.append((left, list(chosen)))
-                if not left or len(found) >= most:
-                    break
-            continue
-        if left - behind[at] > spare:
-            continue
-        skip = at + 1
-        while skip < n and values[skip] == values[at]:
-            skip += 1
-        stack.append((skip, left, chosen))
-        stack.append((at + 1, left - values[at], (*chosen, at)))
-    return sorted(found, key=lambda f: f[0])
+    done = -1
+    for most in sorted({0, spare // 16, spare // 4, spare}):
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+        while stack and budget[0] > 0:
+            at, left, chosen = stack.pop()
+            budget[0] -= 1
+            at = max(at, bisect_left(falling, -left))
+            if at == n or not left:
+                if done < left <= most and not _dominated(values, chosen, left):
+                    yield left, chosen
+                continue
+            if left - behind[at] > most:
+                continue
+            skip = at + 1
+            while skip < n and values[skip] == values[at]:
+                skip += 1
+            stack.append((skip, left, chosen))
+            stack.append((at + 1, left - values[at], (*chosen, at)))
+        done = most
 
 
 def _dominated(values: list[int], chosen: tuple[int, ...], left: int) -> bool:
@@ -186,26 +194,22 @@ def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list
 
     def branch(rest: list[int], bins: list[list[int]], wasted: int) -> None:
         nonlocal best
-        while rest:
-            # Fewer bins than the best known must hold everything, so this much may stay empty.
-            spare = (len(best) - 1) * capacity - total - wasted
-            if spare < 0 or len(best) <= least or budget[0] <= 0:
-                return
-            first, others = rest[0], rest[1:]
-            ways = _fillings(others, sizes, capacity - sizes[first], spare, budget)
-            if not ways:
-                return
-            for waste, chosen in ways[1:]:
-                gone = set(chosen)
-                branch([i for k, i in enumerate(others) if k not in gone], [*bins, [first, *[others[k] for k in chosen]]], wasted + waste)
-            waste, chosen = ways[0]
-            if wasted + waste > (len(best) - 1) * capacity - total:
-                return
+        if not rest:
+            if len(bins) < len(best):
+                best = bins
+            return
+        # Fewer bins than the best known must hold everything, so this much may stay empty.
+        spare = (len(best) - 1) * capacity - total - wasted
+        if spare < 0 or len(best) <= least:
+            return
+        first, others = rest[0], rest[1:]
+        for waste, chosen in _fillings([sizes[i] for i in others], capacity - sizes[first], spare, budget):
+            if waste > (len(best) - 1) * capacity - total - wasted:
+                continue
             gone = set(chosen)
-            bins = [*bins, [first, *[others[k] for k in chosen]]]
-            rest, wasted = [i for k, i in enumerate(others) if k not in gone], wasted + waste
-        if len(bins) < len(best):
-            best = bins
+            branch([i for k, i in enumerate(others) if k not in gone], [*bins, [first, *[others[k] for k in chosen]]], wasted + waste)
+            if len(best) <= least or budget[0] <= 0:
+                return
 
     branch([i for i in order if sizes[i]], [], 0)
     placed = {i for b in best for i in b}
@@ -215,15 +219,16 @@ def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list
     return best
 
 
-ITEMS = "id string, piece_no int, char_start int, char_end int, n_tokens int"
+ITEMS = "id string, text_hash long, piece_no int, char_start int, char_end int, n_tokens int"
+NAMES = [c.split()[0] for c in ITEMS.split(", ")]
 
 
 def _measure(capacity: int, vocabulary: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter(vocabulary)
         for batch in batches:
-            rows = [(i, k, *p) for i, text in zip(batch["id"], batch["text"], strict=True) for k, p in enumerate(pieces(text, counter, capacity))]
-            yield pd.DataFrame(rows, columns=["id", "piece_no", "char_start", "char_end", "n_tokens"])
+            rows = [(i, h, k, *p) for i, h, text in zip(batch["id"], batch["text_hash"], batch["text"], strict=True) for k, p in enumerate(pieces(text, counter, capacity))]
+            yield pd.DataFrame(rows, columns=NAMES)
 
     return run
 
@@ -239,7 +244,7 @@ def _fill(capacity: int, steps: int):
         out = items.iloc[[i for _, _, i in at]].drop(columns="row").reset_index(drop=True)
         out.insert(1, "container", [c for c, _, _ in at])
         out.insert(2, "position", [p for _, p, _ in at])
-        return out[["bucket", "container", "position", "id", "piece_no", "char_start", "char_end", "n_tokens"]]
+        return out[["bucket", "container", "position", *NAMES]]
 
     return run
 
@@ -252,15 +257,17 @@ def _packed(items: DataFrame, round_: int, capacity: int, bucket: int, steps: in
     done = cut_lineage(done)
     fill = done.groupBy("bucket", "container").agg(F.sum("n_tokens").cast("int").alias("container_tokens"))
     name = F.format_string(f"{round_}-%d-%d", "bucket", "container")
-    return done.join(fill, ["bucket", "container"]).select(name.alias("container_id"), "container_tokens", "position", *[c.split()[0] for c in ITEMS.split(", ")])
+    return done.join(fill, ["bucket", "container"]).select(name.alias("container_id"), "container_tokens", "position", *NAMES)
 
 
 def containers(df: DataFrame, id_: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, bucket: int = BUCKET, full: float = FULL, rounds: int = 2, steps: int = STEPS) -> DataFrame:
-    """(container_id, container_tokens, position, id, piece_no, char_start, char_end, n_tokens).
+    """(container_id, container_tokens, position, id, text_hash, piece_no, char_start, char_end, n_tokens).
 
+    `vocabulary` is a file of a public tokenizer on the driver, which is sent to the workers.
     A container's content is its items by position; char_start and char_end count code points.
     """
-    texts = df.select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text")).where("text is not null")
+    texts = df.select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).where("text is not null")
+    _ship_vocabulary(df.sparkSession, vocabulary)
     items = cut_lineage(texts.mapInPandas(_measure(capacity, vocabulary), ITEMS))
     out = None
     for turn in range(1, rounds + 1):
@@ -270,7 +277,7 @@ def containers(df: DataFrame, id_: str = "doc_id", text: str = "text", capacity:
         keep = F.col("container_tokens") >= full * capacity
         kept = packed.where(keep)
         out = kept if out is None else out.unionByName(kept)
-        items = cut_lineage(packed.where(~keep).select(*[c.split()[0] for c in ITEMS.split(", ")]))
+        items = cut_lineage(packed.where(~keep).select(*NAMES))
     return out
 
 
@@ -280,6 +287,6 @@ def container_texts(df: DataFrame, members: DataFrame, id_: str = "doc_id", text
     A container holds at most its capacity in tokens, so its array is bounded, but for texts of size 0.
     """
     texts = df.select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text")).where("text is not null")
-    texts = texts.groupBy("id", F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"))
-    parts = members.join(texts, "id").select("container_id", "container_tokens", "position", F.expr("substring(text, char_start + 1, char_end - char_start)").alias("text"))
+    texts = texts.groupBy("id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+    parts = members.join(texts, members["id"].eqNullSafe(texts["id"]) & (members["text_hash"] == texts["text_hash"])).select("container_id", "container_tokens", "position", F.expr("substring(text, char_start + 1, char_end - char_start)").alias("text"))
     return parts.groupBy("container_id", "container_tokens").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("texts"))

@@ -92,7 +92,7 @@ def p5_clause_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.containers(table(spark, folder, "documents", "doc_id", "text")).withColumn("doc_id", F.col("id").cast("long")).drop("id")
+    return packing.containers(table(spark, folder, "documents", "doc_id", "text")).withColumn("doc_id", F.col("id").cast("long")).drop("id", "text_hash")
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +115,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Copies, edited and paraphrased too: alignments that reach half of what a full copy would score."""
-    found = leakage.leaks(*_leak_tables(spark, folder), every=leakage.EVERY).where(F.col("score") >= 0.5 * leakage.MATCH * F.col("words"))
+    found = leakage.leaks(*_leak_tables(spark, folder), every=leakage.EVERY, least=0.5)
     return found.select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "score", "span", "run", "words")
 
 

@@ -73,7 +73,8 @@ def frequent_sequences(
     times max_gap ** (max_length - 1); they drop no line, as each line of a longer pattern is a
     pattern too.
     """
-    every = lines(df, source, doc, text)
+    # Split and hashed once, read for the counts and for the sequences.
+    every = cut_lineage(lines(df, source, doc, text))
     single = cut_lineage(frequent_lines(every, min_support))
     kept = every.join(single, ["source", "key"])
     sequences = kept.groupBy("source", "doc", "body").agg(F.array_sort(F.collect_set(F.struct("line_no", "key", "support"))).alias("seq"))
@@ -84,7 +85,7 @@ def frequent_sequences(
         F.array("item.key").alias("pattern"),
         F.array("item.line_no").alias("line_nos"),
         F.col("item.support").alias("support"),
-        F.expr("slice(seq, at + 2, size(seq))").alias("rest"),
+        F.expr(f"slice(seq, at + 2, {max_gap * (max_length - 1)})").alias("rest"),
     )
     level = cut_lineage(level)
     patterns, found = [single.select("source", F.array("key").alias("pattern"), F.lit(1).alias("length"), "support")], [level]
@@ -113,7 +114,7 @@ def every_sequence(df: DataFrame, source: str = "doc_id", doc: str = "chunk_id",
     are grown until none is frequent. The patterns themselves can be as many as the subsequences
     of the longest sequence that is frequent.
     """
-    every = lines(df, source, doc, text)
+    every = cut_lineage(lines(df, source, doc, text))
     single = cut_lineage(frequent_lines(every, min_support))
     kept = every.join(single, ["source", "key"])
     rest = F.transform(F.array_sort(F.collect_set(F.struct("line_no", "key"))), lambda x: x["key"])

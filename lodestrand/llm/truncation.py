@@ -1,7 +1,7 @@
 """Texts cut off by a field limit or in transfer: a vocabulary trie, ends of units and lengths.
 
 One pass over all texts counts, within each task first, the corpus's words (without each text's
-last one), how often each ends a sentence or line, and the short lines within texts, their last
+last one), how often each ends a sentence or line, and the lines within texts, their last
 ones left out, that end without a stop; it also keeps every text's last line. From the counts Spark builds the vocabulary trie as a table
 with a row for each proper prefix and the weight of the words below it. A text's last line is then
 judged by what ends it:
@@ -13,7 +13,8 @@ judged by what ends it:
 * a list item, table row, heading, label, reference, sign-off, or a line that recurs within
   enough different texts (or at their ends, if its last word mostly ends what it is in): whole, unless its length is one at which its source piles up texts and
   its last word seldom ends anything;
-* any other line without a stop: cut.
+* any other line without a stop: cut, because its last word, as the trie counts it, seldom ends
+  anything, because of its length, or for want of any sign of an end.
 
 Defined results: NULL, empty and blank texts are whole; repeated rows give one row per id; a
 NULL source is a source of its own in the rates; an empty table gives empty results; columns
@@ -22,6 +23,7 @@ beside the named ones are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -39,8 +41,10 @@ KNOWN_SHARE = 0.004
 SELDOM = 0.05
 #: Texts of one length in one source, and their excess over the lengths around, that speak of a limit.
 PILE, EXCESS, AROUND = 5, 4.0, 12
-#: Longest line that is counted as one that may recur.
+#: Longest label, whole text and last line that may vouch for others; lines within texts are counted whatever their length.
 SHORT = 90
+#: Letters by which words and longer last words are joined in the trie.
+HEAD = 12
 #: Different texts, and share of all texts, that must hold a line for it to recur.
 RECURS, RECURS_SHARE = 3, 0.0002
 #: Share of a word's uses that end a sentence or line, from which texts' last lines with it may vouch for each other;
@@ -71,9 +75,9 @@ BRACKETED = re.compile(r"^\s*[(\[<{].*[)\]>}]\s*$")
 NUMBERED = re.compile(r"^\s*(?:\d+(?:\.\d+)*\.?|[A-Z]{1,4}-\d+[a-z]?(?:\(\d+\))*|(?:annex|appendix|anhang|annexe|anexo|chapter|section|part)\s+\S+)[ :–-]+\S", re.I)
 
 #: The reasons for which a text counts as cut.
-CUT = ("abbreviation", "mark", "prefix", "open", "unended")
+CUT = ("abbreviation", "mark", "prefix", "open", "goes_on", "limit", "unended")
 
-COUNTED = "kind string, key string, n long, ends long, id string, source string, size int, line string, mark boolean, words array<string>, head string"
+COUNTED = "kind string, key string, n long, ends long, id string, source string, size int, line string, mark boolean, words array<string>, head string, line_key string"
 
 
 def _trimmed(text: str) -> str:
@@ -98,7 +102,9 @@ def last_line(text: str) -> tuple[str, bool]:
 
 
 def line_key(line: str) -> str:
-    return " ".join(WORDS.findall(line.lower()))
+    """A hash of 64 bits of a line's words."""
+    words = " ".join(WORDS.findall(line.lower())).encode(errors="replace")
+    return hashlib.blake2b(words, digest_size=8).hexdigest()
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +124,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = WORDS.findall(token)
             if found:
                 ends[found[-1]] += n
-        rows = [("word", w, n, ends[w], *[None] * 7) for w, n in words.items()] + [("line", k, n, 0, *[None] * 5, holders[k], None) for k, n in lines.items()]
+        rows = [("word", w, n, ends[w], *[None] * 8) for w, n in words.items()] + [("line", k, n, 0, *[None] * 5, holders[k], None, None) for k, n in lines.items()]
         for c in (tokens, opened, lines, holders):
             c.clear()
         return pd.DataFrame(rows, columns=columns)
@@ -138,8 +144,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 inner = inner.strip()
                 if inner and inner.rstrip(CLOSERS)[-1:] not in STOPS:
                     opened[inner.rsplit(None, 1)[-1].lower()] += 1
-                    if len(inner) <= SHORT:
-                        inside.add(line_key(inner))
+                    inside.add(line_key(inner))
             name = str(zlib.crc32(text.encode(errors="replace")))
             if inside:
                 lines.update(inside)
@@ -147,7 +152,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     known = holders.get(key, ())
                     if len(known) < RECURS and name not in known:
                         holders[key] = (*known, name)
-            tails.append(("tail", name, 0, 0, id_, source, len(text), line, mark, WORDS.findall(line.lower())[-1:], text.strip()[: SHORT + 1]))
+            tails.append(("tail", name, 0, 0, id_, source, len(text), line, mark, WORDS.findall(line.lower())[-1:], text.strip()[: SHORT + 1], line_key(line)))
         yield pd.DataFrame(tails, columns=columns)
         if len(tokens) + len(lines) > HELD:
             yield passed_on()
@@ -165,10 +170,19 @@ def vocabulary(counted: DataFrame) -> DataFrame:
     return counted.where("kind = 'word'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where("n > 0")
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """(node, below): every proper prefix of a word and the weight of the words it begins."""
-    heads = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", 1, k))
-    return words.where(F.length("word") > 1).select(F.explode(heads).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("below"))
+def trie(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, below): of the `wanted` nodes (word) those that begin other words, and the weight of the words they begin.
+
+    Nodes of fewer than `HEAD` letters are found by listing each word's shorter prefixes, deeper
+    ones by joining on the first letters, so that a word of any length has few rows.
+    """
+    wanted = wanted.select(F.col("word").alias("node")).where("node is not null").distinct()
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(HEAD - 1))), lambda k: F.substring("word", 1, k))
+    short = words.where(F.length("word") > 1).select(F.explode(heads).alias("node"), "n").join(wanted, "node", "left_semi")
+    head = lambda c: F.substring(c, 1, HEAD).alias("head")
+    deep = words.where(F.length("word") > HEAD).select("word", "n", head("word")).join(wanted.where(F.length("node") >= HEAD).select("node", head("node")), "head")
+    deep = deep.where(F.startswith("word", "node") & (F.col("word") != F.col("node"))).select("node", "n")
+    return short.unionByName(deep).groupBy("node").agg(F.sum("n").alias("below"))
 
 
 def piles(tails: DataFrame) -> DataFrame:
@@ -210,10 +224,9 @@ def _structural(line: Column) -> Column:
 def judged(df: DataFrame, id_: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(id, source, size, cut, reason) of each text with an id; reason tells by what it was judged."""
     counted = counts(df, id_, source, text)
-    key = F.array_join(F.expr(r"regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+', 0)"), " ")
-    tails = counted.where("kind = 'tail'").select(F.col("key").alias("name"), "id", "source", "size", "line", "mark", "head", key.alias("line_key"), F.try_element_at("words", F.lit(-1)).alias("word"))
+    tails = counted.where("kind = 'tail'").select(F.col("key").alias("name"), "id", "source", "size", "line", "mark", "head", "line_key", F.try_element_at("words", F.lit(-1)).alias("word"))
     words = cut_lineage(vocabulary(counted))
-    nodes = cut_lineage(trie(words))
+    nodes = cut_lineage(trie(words, tails))
     different = F.size(F.array_distinct(F.flatten(F.collect_list("words"))))
     lines = counted.where("kind = 'line'").groupBy(F.col("key").alias("line_key")).agg(F.sum("n").alias("times"), different.alias("different"))
     ending = tails.where((F.length("line") <= SHORT) & ~F.col("line").rlike("[.!?。！？]$")).groupBy("line_key").agg(F.count("*").alias("times"), F.count_distinct("name").alias("different"))
@@ -243,9 +256,11 @@ def judged(df: DataFrame, id_: str = "doc_id", source: str = "source", text: str
         .when(_matches(line, PLACEHOLDER), "structure")
         .when(value, "recurring")
         .when(prefix, "prefix")
-        .when((F.col("times").isNotNull() | ends_it) & (F.length(line) <= SHORT) & ~(at_limit & seldom), "recurring")
+        .when((F.col("times").isNotNull() | ends_it & (F.length(line) <= SHORT)) & ~(at_limit & seldom), "recurring")
         .when(line.rlike(r"[,;(\[“«„'’-]$") & ~line.rlike(r"^\W*$") & ~line.rlike(r"^- .* -$"), "open")
         .when(_structural(line) & ~(at_limit & seldom), "structure")
+        .when(seldom & (n > 0), "goes_on")
+        .when(at_limit, "limit")
         .otherwise("unended")
     )
     return known.withColumn("reason", reason).select("id", "source", "size", F.col("reason").isin(*CUT).alias("cut"), "reason")

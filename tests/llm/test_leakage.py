@@ -56,7 +56,7 @@ def world(spark):
     return items, docs, spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc int"), spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item string")
 
 
-@pytest.mark.parametrize("most", [L.MOST_GRAMS, 0])
+@pytest.mark.parametrize("most", [L.MOST_GRAMS, 60])
 def test_every_run_and_no_other(world, most):
     items, docs, item_df, doc_df = world
     want = {(str(d), str(i)) for d, t in docs if t and d is not None for i, u in items if u and longest(L.normal_words(t), L.normal_words(u)) >= 12}
@@ -75,6 +75,15 @@ def test_edited_copy_beside_an_intact_one(spark):
     assert {r.doc for r in L.leaks(docs, items).collect()} == {"1"}
 
 
+def test_blocks_and_bounds_change_no_score(world):
+    items, docs, item_df, doc_df = world
+    score = lambda **options: {(r.doc, r.item): (r.score, r.run) for r in L.leaks(doc_df, item_df, every=L.EVERY, **options).collect()}
+    whole = score()
+    assert score(most_grams=60) == whole
+    full = {str(i): 2 * len(L.normal_words(t)) for i, t in items if t}
+    assert score(least=0.5) == {k: v for k, v in whole.items() if v[0] >= 0.5 * full[k[1]]} != whole
+
+
 def test_nothing(world):
     _, _, items, docs = world
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
