@@ -6,7 +6,7 @@ proposes the medians of both sides; the weighted median of the proposals for the
 the target is the next pivot, and the other side is ruled out. Values no target can hold any more
 are left out of the table that the next round reads, so all rounds together read about twice the
 data. Only one row per partition and target is ever shuffled. A target whose range holds at most
-`finish` values is finished by sorting those.
+`finish` values is finished by sorting those; with `finish` 0 it is counted to the end.
 
 Percentile p of n values is the value at rank ceil(p * n), with a rank error of 0.
 
@@ -28,7 +28,7 @@ PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 #: Relative error of the values of a combined summary.
 ERROR = 0.01
 #: Values a target's range may still hold when they are sorted instead of counted; with 0 all targets are counted to the end.
-FINISH = 500
+FINISH = 1000
 #: Sets of partitions whose medians are merged before all are.
 FAN = 64
 
@@ -138,11 +138,18 @@ def percentiles(df: DataFrame, groups: tuple[str, ...], value: str = "value", at
     rows = df.select(F.struct(*groups).alias("g"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf))
     live = cut_lineage(rows)
     state = cut_lineage(_start(live, at))
-    while not state.where(F.col("found").isNull() & (F.col("left") > finish)).isEmpty():
+    held = math.inf
+    while True:
+        open_ = state.where("found is null").agg(F.count_if(F.col("left") > finish).alias("large"), F.sum("left").alias("left")).first()
+        if not open_.large:
+            break
+        if open_.left < held / 2:  # values that no target can hold any more are left out whenever half are
+            if held < math.inf:
+                before, live = live, cut_lineage(_survivors(live, state))
+                drop_cut(before)
+            held = open_.left
         old, state = state, cut_lineage(_turn(live, state, finish))
         drop_cut(old)
-        before, live = live, cut_lineage(_survivors(live, state))
-        drop_cut(before)
     done = state.join(_sorted_out(live, state), ["g", "p"], "left")
     return done.select(*[F.col("g").getField(c).alias(c) for c in groups], F.col("p").alias("percentile"), F.coalesce("found", "late").alias("value"), F.col("n").alias("values"))
 
