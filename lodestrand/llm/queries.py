@@ -192,6 +192,14 @@ P4_FOUND_SQL = r"""
 SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 768 AND len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\p{C}]')) > 768
 """
 
+#: Runs of 12 words in common; signs that show nothing are taken out as the operator's words are.
+P7_FOUND_SQL = r"""
+WITH n AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM testitems),
+w AS (SELECT kind, id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\p{Cf}\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]', '', 'g'))), '[\p{L}\p{N}]+') AS w FROM n WHERE text IS NOT NULL),
+g AS (SELECT kind, id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM w WHERE len(w) >= 12)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (g) WHERE d.kind = 'd' AND i.kind = 'i'
+"""
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_clean_chunks": p1_clean_chunks,
@@ -223,6 +231,7 @@ SQL = {
     "p3_daily_summaries": P3_DAILY_SQL,
     "p3_combined_percentiles": P3_COMBINED_SQL,
     "p4_found": P4_FOUND_SQL,
+    "p7_found": P7_FOUND_SQL,
 }
 
 
