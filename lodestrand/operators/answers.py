@@ -69,16 +69,16 @@ def gathered_context(sub_rankings: DataFrame, budget: int) -> DataFrame:
     return sub_rankings.groupBy("question_id").applyInPandas(_gather(budget), "question_id string, place int, sub_query int, doc string")
 
 
-def given_excerpts(asked: Column | str) -> Column:
-    """The excerpts of a request by position, as `excerpt` writes them: the first unbroken block, numbered from 1.
+def given_excerpts(asked: Column | str, part: str = "source") -> Column:
+    """The sources (or texts) of a request's excerpts by position, as `excerpt` writes them: the first unbroken block, numbered from 1.
 
     Tags that are forged in a question, or opened within an excerpt, are not counted.
     """
-    tag = r'<excerpt id=(\d+) source="([^"\n]*)">\n(?:(?s:.*?)\n)?</excerpt>'
+    tag = r'<excerpt id=(\d+) source="([^"\n]*)">\n(?:((?s:.*?))\n)?</excerpt>'
     block = F.regexp_extract(asked, rf"(?m)^(?:{tag}\n?)+", 0)
-    ids, sources = (F.regexp_extract_all(block, F.lit(tag), F.lit(g)) for g in (1, 2))
-    numbered = F.transform(F.arrays_zip(ids.alias("id"), sources.alias("source")), lambda x, i: F.struct(x["id"].alias("id"), x["source"].alias("source"), (i + 1).alias("position")))
-    return F.transform(F.filter(numbered, lambda x: x["id"] == x["position"].cast("string")), lambda x: x["source"])
+    ids, parts = (F.regexp_extract_all(block, F.lit(tag), F.lit(g)) for g in (1, {"source": 2, "text": 3}[part]))
+    numbered = F.transform(F.arrays_zip(ids.alias("id"), parts.alias("part")), lambda x, i: F.struct(x["id"].alias("id"), x["part"].alias("part"), (i + 1).alias("position")))
+    return F.transform(F.filter(numbered, lambda x: x["id"] == x["position"].cast("string")), lambda x: x["part"])
 
 
 def markers(text: Column | str) -> Column:

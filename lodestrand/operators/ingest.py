@@ -159,6 +159,16 @@ def sections(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     return _texts(df, doc, text).mapInPandas(_sections, SECTIONS)
 
 
+def substantial(found: DataFrame, least: int = 50) -> DataFrame:
+    """Sections of more than `least` characters; a document whose sections are all shorter keeps its longest, the first of several."""
+    from pyspark.sql import Window
+
+    size = F.length(F.trim("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "ordinal"))
+    kept = found.withColumn("size", size).withColumn("best", F.max("size").over(Window.partitionBy("doc_id"))).withColumn("place", first)
+    return kept.where((F.col("size") > least) | ((F.col("best") <= least) & (F.col("place") == 1))).drop("size", "best", "place")
+
+
 def chunks(df: DataFrame, doc: str = "doc_id", text: str = "text", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of each document in order, none above 1.5 times the target, with stable ids."""
     return _texts(df, doc, text).mapInPandas(_chunks(target, overlap), CHUNKS).withColumn("chunk_id", chunk_id("doc_id", "section_id", "ordinal"))
@@ -168,6 +178,34 @@ def chunk_id(doc: str, section: str, ordinal: str) -> Column:
     return F.substring(F.sha1(F.concat_ws(":", doc, section, F.lpad(F.col(ordinal).cast("string"), 4, "0"))), 1, 16)
 
 
+# The forms of a heading's start, each with the section id it gives.
+SECTION_FORMS = (
+    (r"^([A-Z]{2}-\d+(?:\(\d+\))?)", lambda g: g(1)),
+    (r"(?i)^(govern|map|measure|manage)\s+(\d+)\.(\d+)", lambda g: F.concat_ws("-", F.lower(g(1)), g(2), g(3))),
+    (r"^(\d+\.\d+(?:\.\d+)*)", lambda g: g(1)),
+    (r"(?i)^appendix\s+([a-z])", lambda g: F.concat(F.lit("appendix-"), F.lower(g(1)))),
+    (r"(?i)^chapter\s+(\d+)", lambda g: F.concat(F.lit("chapter-"), g(1))),
+)
+
+
+def is_heading(line: Column | str) -> Column:
+    """Whether a line begins as a heading does and is no line of a table of contents."""
+    line = F.col(line) if isinstance(line, str) else line
+    starts = F.lit(False)
+    for pattern, _ in SECTION_FORMS:
+        starts = starts | F.trim(line).rlike(pattern)
+    return starts & ~line.contains("....")
+
+
+def section_id(heading: Column | str) -> Column:
+    """The canonical id of a heading; front-matter if it begins as none does, and for NULL."""
+    text = F.trim(heading)
+    out = F.lit("front-matter")
+    for pattern, named in reversed(SECTION_FORMS):
+        out = F.when(text.rlike(pattern), named(lambda k, p=pattern: F.regexp_extract(text, p, k))).otherwise(out)
+    return out
+
+
 def breadcrumb(path: Column | str) -> Column:
     """The last three parts of a path of headings."""
     parts = F.split(path, " > ")
@@ -175,16 +213,21 @@ def breadcrumb(path: Column | str) -> Column:
 
 
 def fingerprint(df: DataFrame, id_: str) -> DataFrame:
-    """One hash over all ids in order, from the hashes of id ranges so that no task holds all ids.
+    """One hash over the set of ids, whatever their order and number: no task holds more than sums.
 
-    Ids go to a bucket by their first two characters; the buckets' hashes are hashed in their order.
+    Each id's SHA-256 is taken as eight numbers; their sums over all ids are hashed together.
     """
-    by = df.select(F.col(id_).alias("id")).distinct().groupBy(F.substring("id", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return by.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.sum("n").alias("ids"))
+    ids = df.select(F.sha2(F.col(id_), 256).alias("h")).where("h is not null").distinct()
+    parts = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(8)]
+    sums = ids.agg(F.count("*").alias("ids"), *parts)
+    joined = F.concat_ws(",", "ids", *[F.coalesce(F.col(f"s{i}"), F.lit(0).cast("decimal(38,0)")).cast("string") for i in range(8)])
+    return sums.select(F.sha2(joined, 256).alias("fingerprint"), "ids")
 
 
 def cleaned_lines(text: Column | str) -> Column:
     """A text without repeats of the line before, lone numbers and blank lines."""
-    step = "(a, x) -> if(trim(x) = '' or trim(x) rlike '^[0-9]+$' or (size(a) > 0 and element_at(a, -1) = x), a, array_append(a, x))"
-    lines = f"split({text}, '\\n')" if isinstance(text, str) else None
-    return F.array_join(F.expr(f"aggregate({lines}, cast(array() as array<string>), {step})"), "\n")
+    kept = F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike("^[0-9]+$"))
+    # Each line beside the one before it.
+    pairs = F.arrays_zip(kept.alias("line"), F.concat(F.array(F.lit(None).cast("string")), kept).alias("before"))
+    told = F.filter(pairs, lambda p: p["line"].isNotNull() & ~p["line"].eqNullSafe(p["before"]))
+    return F.array_join(F.transform(told, lambda p: p["line"]), "\n")

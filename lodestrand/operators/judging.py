@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators.ledger import any_null_sum
+from lodestrand.operators.order_statistics import MEDIAN_HIGH, MEDIAN_LOW, floor_rank, values_at
+
 DIMENSIONS = ("faithfulness", "relevance", "citation_accuracy")
 
 
@@ -53,6 +56,55 @@ def round_robin(rows: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
     return placed.orderBy("turn", stratum).limit(n)
 
 
+CONFIG = ("provider", "model", "mode", "rerank", "pipeline")
+
+
+def run_summary(rows: DataFrame, by: tuple[str, ...] = CONFIG) -> DataFrame:
+    """Measures of each configuration of a run.
+
+    `rows` has the columns `by`, refusal, judged, latency_s, input_tokens, output_tokens, cost_usd
+    and judge_cost_usd (of judged rows). A sum of costs is NULL as soon as one cost is; p50 is the
+    interpolated median, p95 the value behind floor(0.95 n) others.
+    """
+    judged, refused = F.coalesce("judged", F.lit(False)), F.coalesce("refusal", F.lit(False))
+    unknown = F.count_if(judged & F.col("judge_cost_usd").isNull())
+    totals = rows.groupBy(*by).agg(
+        F.count("*").alias("items"),
+        F.count_if(judged & ~refused).alias("judged"),
+        F.count_if(refused).alias("refusals"),
+        F.count_if(~judged & ~refused).alias("judge_failures"),
+        F.round(F.avg("latency_s"), 9).alias("latency_mean"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.round(any_null_sum("cost_usd"), 6).alias("cost_usd"),
+        F.round(F.when((unknown == 0) & (F.count_if(judged) > 0), F.sum(F.when(judged, F.col("judge_cost_usd")))), 6).alias("judge_cost_usd"),
+    )
+    ranks = values_at(rows, by, "latency_s", {"low": MEDIAN_LOW, "high": MEDIAN_HIGH, "latency_p95": floor_rank(0.95)})
+    same = [totals[c].eqNullSafe(ranks[c]) for c in by]
+    return totals.join(ranks, same, "left").select(*[totals[c] for c in totals.columns], ((F.col("low") + F.col("high")) / 2).alias("latency_p50"), "latency_p95")
+
+
+def of_config(summary: DataFrame, mode: str | None = None, rerank: str | None = None) -> DataFrame:
+    """The configurations a report is asked for; a missing rerank counts as none."""
+    asked = {"mode": (F.col("mode"), mode), "rerank": (F.coalesce("rerank", F.lit("none")), rerank)}
+    for column, wanted in asked.values():
+        if wanted is not None:
+            summary = summary.where(column == wanted)
+    return summary
+
+
+def labelable(rows: DataFrame, golden: DataFrame, example: str = "example_id") -> DataFrame:
+    """Rows worth a label: of a known example, and no refusal."""
+    return rows.where(~F.coalesce("refusal", F.lit(False))).join(golden.select(example, "type"), example)
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows; a second row for one key fails the job, which a join would multiply."""
+    told = F.raise_error(F.concat(F.lit("more than one row for "), F.col(key).cast("string"))).cast("boolean")
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    return counted.where(F.when(F.col("_n") > 1, told).otherwise(F.lit(True))).drop("_n")
+
+
 def extremes(df: DataFrame, high: tuple[str, ...] = (), low: tuple[str, ...] = ()) -> DataFrame:
     """Marks the best of each column, ties included: <column>_best."""
     bounds = df.agg(*[F.max(c).alias(f"_{c}") for c in high], *[F.min(c).alias(f"_{c}") for c in low])

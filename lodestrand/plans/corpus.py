@@ -19,6 +19,18 @@ def ingest_sections(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.sections(_documents(spark, folder)).drop("text")
 
 
+def ingest_section_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The section ids that headings of chunks and lines of documents give, with their numbers."""
+    lines = _documents(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).where(ingest.is_heading("line"))
+    headings = table(spark, folder, "chunks", "chunk_id", "heading").distinct().select(F.col("heading").alias("line"))
+    return lines.unionByName(headings).groupBy(ingest.section_id("line").alias("section_id")).agg(F.count("*").alias("n"))
+
+
+def ingest_substantial(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections kept of each document: the tiny ones are dropped, unless there are no others."""
+    return ingest.substantial(ingest.sections(_documents(spark, folder))).groupBy("doc_id").agg(F.count("*").alias("sections"))
+
+
 def ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.chunks(_documents(spark, folder)).select("chunk_id", "doc_id", "ordinal", "section_id", F.size("section_ids").alias("sections"), "char_start", "char_end", "token_count", "content_type")
 
@@ -104,6 +116,23 @@ def refusal_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("model", "mode", "rerank").agg(F.count("*").alias("n"), judging.rate(F.col("refusal"), ~F.col("error")).alias("refused_sound"), judging.rate(F.col("refusal"), F.col("error")).alias("refused_failed"))
 
 
+def _run(spark: SparkSession, folder: str) -> DataFrame:
+    """The generations of the ledger, each with its judge's entry under the same request."""
+    rows = ledger.latest(table(spark, folder, "metrics", "request_id", "source", *judging.CONFIG, "input_tokens", "output_tokens", "cost_usd", "latency_s", "refusal", "ingest_seq")).withColumn("latency_s", ledger.measured())
+    rows = rows.withColumns({"provider": ledger.group_column("provider"), "pipeline": ledger.group_column("pipeline")})
+    judged = rows.where("source = 'eval.judge'").select("request_id", F.lit(True).alias("judged"), F.col("cost_usd").alias("judge_cost_usd"))
+    return rows.where("source = 'eval.generation'").join(judged, "request_id", "left")
+
+
+def run_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return judging.run_summary(_run(spark, folder))
+
+
+def run_summary_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    """The configurations of hybrid search without a reranker."""
+    return judging.of_config(judging.run_summary(_run(spark, folder)), "hybrid", "none")
+
+
 def eval_set(spark: SparkSession, folder: str) -> DataFrame:
     rows = _golden(spark, folder).where(~F.coalesce("held_out", F.lit(False)) & (F.col("type") != "unanswerable"))
     return rows.groupBy("type", "difficulty").agg(F.count("*").alias("n"))
@@ -185,8 +214,8 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_sections, ingest_chunks, ingest_manifest, ingest_chunk_ids, ingest_fingerprint, ingest_breadcrumbs, ingest_clean_lines, ingest_segments, missing_chunks, cited_sections,
-        judge_summaries, judge_agreement, judge_duplicates, refusal_rates, eval_set, stratified, report_deltas, report_extremes, report_markdown,
+        ingest_sections, ingest_section_ids, ingest_substantial, ingest_chunks, ingest_manifest, ingest_chunk_ids, ingest_fingerprint, ingest_breadcrumbs, ingest_clean_lines, ingest_segments, missing_chunks, cited_sections,
+        judge_summaries, judge_agreement, judge_duplicates, refusal_rates, run_summary, run_summary_hybrid, eval_set, stratified, report_deltas, report_extremes, report_markdown,
         sets_union, sets_intersect, sets_except, model_prefixes, shipments_by_region, sessions,
     )
 }
@@ -197,11 +226,35 @@ _LABELS = "l AS (SELECT example_id, lower(trim(labeler)) AS labeler, " + ", ".jo
 _GOLDEN = "g AS (SELECT DISTINCT id AS example_id, type, difficulty, held_out FROM v2)"
 _PIPES = _LAST + ", p AS (SELECT lower(trim(provider)) AS provider, coalesce(pipeline, 'vanilla') AS pipeline, avg(input_tokens) AS tokens, avg(refusal::INT) AS refusals FROM l GROUP BY ALL)"
 
+_RUN = f"""WITH {_LAST}, x AS (SELECT request_id, source, lower(trim(provider)) AS provider, model, mode, rerank, coalesce(pipeline, 'vanilla') AS pipeline, input_tokens, output_tokens, cost_usd,
+  CASE WHEN latency_s >= 0 AND NOT isnan(latency_s) THEN latency_s END AS latency_s, coalesce(refusal, false) AS refusal FROM l),
+g AS (SELECT x.*, j.request_id IS NOT NULL AS judged, j.cost_usd AS judge_cost_usd FROM x LEFT JOIN (SELECT * FROM x WHERE source = 'eval.judge') j USING (request_id) WHERE x.source = 'eval.generation'),
+o AS (SELECT *, CASE WHEN latency_s IS NOT NULL THEN row_number() OVER (PARTITION BY provider, model, mode, rerank, pipeline, latency_s IS NULL ORDER BY latency_s) END AS i,
+  count(latency_s) OVER (PARTITION BY provider, model, mode, rerank, pipeline) AS n FROM g)
+"""
+_SUMMARY = """SELECT * FROM (SELECT provider, model, mode, rerank, pipeline, count(*) AS items, count(*) FILTER (judged AND NOT refusal) AS judged, count(*) FILTER (refusal) AS refusals,
+  count(*) FILTER (NOT judged AND NOT refusal) AS judge_failures, round(avg(latency_s), 9) AS latency_mean, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+  CASE WHEN count(*) = count(cost_usd) THEN round(sum(cost_usd), 6) END AS cost_usd,
+  CASE WHEN count(*) FILTER (judged AND judge_cost_usd IS NULL) = 0 AND count(*) FILTER (judged) > 0 THEN round(sum(judge_cost_usd), 6) END AS judge_cost_usd,
+  median(latency_s) AS latency_p50, max(latency_s) FILTER (i = floor(n * 0.95) + 1) AS latency_p95 FROM o GROUP BY ALL)"""
+
 SQL = {
+    "ingest_section_ids": r"""
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+h AS (SELECT line FROM l WHERE NOT contains(line, '....') AND regexp_matches(trim(line), '^([A-Z]{2}-\d+|\d+\.\d+|(?i:(govern|map|measure|manage)\s+\d+\.\d+|appendix\s+[a-z]|chapter\s+\d+))') UNION ALL SELECT heading FROM (SELECT DISTINCT chunk_id, heading FROM chunks)),
+t AS (SELECT trim(line) AS t FROM h)
+SELECT CASE WHEN regexp_matches(t, '^[A-Z]{2}-\d+') THEN regexp_extract(t, '^[A-Z]{2}-\d+(\(\d+\))?')
+  WHEN regexp_matches(t, '^(?i:govern|map|measure|manage)\s+\d+\.\d+') THEN regexp_replace(lower(t), '^(\w+)\s+(\d+)\.(\d+).*', '\1-\2-\3')
+  WHEN regexp_matches(t, '^\d+\.\d+') THEN regexp_extract(t, '^\d+(\.\d+)+')
+  WHEN regexp_matches(t, '^(?i:appendix)\s+[A-Za-z]') THEN 'appendix-' || regexp_extract(lower(t), '^appendix\s+([a-z])', 1)
+  WHEN regexp_matches(t, '^(?i:chapter)\s+\d+') THEN 'chapter-' || regexp_extract(lower(t), '^chapter\s+(\d+)', 1) ELSE 'front-matter' END AS section_id, count(*) AS n
+FROM t GROUP BY 1""",
     "ingest_manifest": "SELECT doc_id, count(DISTINCT chunk_id) AS chunks, count(DISTINCT section_id) AS sections, max(page_end) + 1 AS pages FROM chunks GROUP BY 1",
     "ingest_chunk_ids": _K.format("chunk_id, doc_id, section_id, char_start")
     + "SELECT chunk_id, ordinal, substr(sha1(concat_ws(':', doc_id, section_id, lpad(ordinal::VARCHAR, 4, '0'))), 1, 16) AS stable_id FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, section_id ORDER BY char_start NULLS FIRST, chunk_id) - 1)::INT AS ordinal FROM k)",
-    "ingest_fingerprint": "WITH b AS (SELECT substr(chunk_id, 1, 3) AS bucket, sha256(string_agg(chunk_id, chr(10) ORDER BY chunk_id)) AS h, count(*) AS n FROM (SELECT DISTINCT chunk_id FROM chunks) GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY bucket)) AS fingerprint, sum(n)::BIGINT AS ids FROM b",
+    "ingest_fingerprint": "WITH h AS (SELECT DISTINCT sha256(chunk_id) AS h FROM chunks), s AS (SELECT count(*) AS ids, "
+    + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) AS s{i}" for i in range(8))
+    + " FROM h) SELECT sha256(concat_ws(',', ids, " + ", ".join(f"s{i}" for i in range(8)) + ")) AS fingerprint, ids FROM s",
     "ingest_breadcrumbs": _K.format("chunk_id, section_path, text")
     + r"SELECT chunk_id, array_to_string(list_slice(string_split(section_path, ' > '), greatest(len(string_split(section_path, ' > ')) - 2, 1), len(string_split(section_path, ' > '))), ' > ') AS path, substring(regexp_replace(text, '[\t\n\x0b\f\r ]+', ' ', 'g'), 1, 200) AS line FROM k",
     "ingest_clean_lines": _K.format("chunk_id, text")
@@ -220,6 +273,8 @@ SELECT k.chunk_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (line IS
     + "), j AS (SELECT a.labeler, a.dimension, a.s AS a, b.s AS b FROM u a JOIN u b USING (example_id, dimension) WHERE a.labeler <> 'rater-desk' AND b.labeler = 'rater-desk') SELECT labeler, dimension, count(*) AS n, round(CASE WHEN avg(a*a)+avg(b*b)-2*avg(a)*avg(b) > 1e-12 THEN 1 - avg((a-b)**2) / (avg(a*a)+avg(b*b)-2*avg(a)*avg(b)) ELSE 1 END, 6) AS kappa, round(avg((a = b)::INT), 6) AS exact, round(avg(abs(a - b)), 6) AS distance, count(*) FILTER (abs(a - b) >= 2) AS far FROM j GROUP BY ALL",
     "judge_duplicates": "SELECT example_id, lower(trim(labeler)) AS labeler, count(*) AS n FROM labels GROUP BY 1, 2 HAVING count(*) > 1",
     "refusal_rates": f"WITH {_LAST} SELECT model, mode, rerank, count(*) AS n, round(count(*) FILTER (refusal AND NOT error) / nullif(count(*) FILTER (NOT error), 0), 4) AS refused_sound, round(count(*) FILTER (refusal AND error) / nullif(count(*) FILTER (error), 0), 4) AS refused_failed FROM l GROUP BY ALL",
+    "run_summary": _RUN + _SUMMARY,
+    "run_summary_hybrid": _RUN + _SUMMARY + " WHERE mode = 'hybrid' AND coalesce(rerank, 'none') = 'none'",
     "eval_set": f"WITH {_GOLDEN} SELECT type, difficulty, count(*) AS n FROM g WHERE NOT coalesce(held_out, false) AND type <> 'unanswerable' GROUP BY ALL",
     "stratified": f"WITH {_GOLDEN}, t AS (SELECT example_id, type, row_number() OVER (PARTITION BY type ORDER BY example_id)::INT AS turn FROM g WHERE type IS NOT NULL) SELECT * FROM t ORDER BY turn, type LIMIT 20",
     "report_deltas": f"WITH {_PIPES} SELECT a.provider, round(a.tokens - v.tokens, 4) AS tokens, round(a.refusals - v.refusals, 6) AS refusals FROM p a JOIN p v USING (provider) WHERE a.pipeline = 'agentic' AND v.pipeline = 'vanilla'",

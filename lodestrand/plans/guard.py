@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.operators import answers, guardrails
 from lodestrand.operators.guardrails import INJECTION, PII
+from lodestrand.session import spread
 from lodestrand.sources.tables import table
 
 
@@ -47,9 +48,64 @@ def base64_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.withColumn("plausible", plausible)
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, id, text) of documents, chunks and recorded calls, spread over the tasks, for a table may be one file."""
+    documents = table(spark, folder, "documents", "doc_id", "text").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    chunks = table(spark, folder, "chunks", "chunk_id", "text").distinct().select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "text")
+    calls = _calls(spark, folder).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("call_id").alias("id"), F.col(c).alias("text")) for k, c in (("asked", "asked"), ("answer", "text"))])).alias("t")).select("t.*")
+    return spread(documents.unionByName(chunks).unionByName(calls))
+
+
 def spans(spark: SparkSession, folder: str) -> DataFrame:
-    found = guardrails.scanned(_documents(spark, folder))
-    return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.*")
+    found = guardrails.scanned(_texts(spark, folder))
+    return found.select("kind", "id", F.explode("detections").alias("d")).select("kind", "id", "d.*")
+
+
+def _digits(number: str, width: int) -> str:
+    return f"lpad(cast({number} as string), {width}, '0')"
+
+
+#: Contact lines made of a customer's number, each part with what it is preceded by; every kind of personal data stands in it once.
+CONTACT = {
+    "phone": ("Phone ", f"concat('(', {_digits('k % 800 + 200', 3)}, ') ', {_digits('k % 900 + 100', 3)}, '-', {_digits('k % 10000', 4)})"),
+    "email": ("; mail ", "concat('c', k, '@example.org')"),
+    "ssn": ("; number ", f"concat({_digits('k % 900 + 100', 3)}, '-', {_digits('k % 90 + 10', 2)}, '-', {_digits('k % 10000', 4)})"),
+    "ein": ("; employer ", f"concat({_digits('k % 90 + 10', 2)}, '-', {_digits('k % 10000000', 7)})"),
+    "credit_card": ("; card ", _digits("k * 7919 + 4000000000000000", 16)),
+    "ip": ("; host ", "concat('10.', k % 256, '.', k % 199, '.7')"),
+}
+
+
+def _contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """(k, text): the contact line of each customer."""
+    parts = ", ".join(f"'{before}', {part}" for before, part in CONTACT.values())
+    return table(spark, folder, "customer", "c_custkey").selectExpr("cast(c_custkey as bigint) as k").selectExpr("k", f"concat({parts}, '.') as text")
+
+
+def contact_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = guardrails.scanned(spread(_contacts(spark, folder)))
+    return found.select("k", F.explode("detections").alias("d")).select("k", "d.*")
+
+
+def contact_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each contact line as question and as answer."""
+    lines = spread(_contacts(spark, folder)).withColumn("direction", F.explode(F.array(F.lit("input"), F.lit("output"))))
+    acted = guardrails.verdicts(guardrails.with_actions(guardrails.scanned(lines), F.col("direction")))
+    return acted.select("k", "direction", "blocked", "reason", guardrails.refusal_text().alias("refusal"), "verdict_text")
+
+
+def flagged_excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    """The excerpts of each call, by position, that hold an attempt at injection."""
+    given = _calls(spark, folder).select("call_id", F.posexplode(answers.given_excerpts("asked", "text")).alias("at", "text"))
+    found = guardrails.scanned(given).where(F.exists("detections", lambda d: d["detector"] == "injection"))
+    return found.select("call_id", (F.col("at") + 1).alias("position"))
+
+
+def guarded_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """What is given out for each call: the answer's redactions, its refusal and the reason for it."""
+    calls = _calls(spark, folder).where("text is not null").select("call_id", "text", F.ltrim("text").startswith(answers.SENTINEL).alias("refusal"))
+    acted = guardrails.with_actions(guardrails.scanned(calls), F.lit("output"))
+    return guardrails.guarded_answer(acted).select("call_id", "final_text", "final_refusal", "refusal_reason")
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,8 +121,9 @@ def policy_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def redacted_documents(spark: SparkSession, folder: str) -> DataFrame:
-    acted = guardrails.with_actions(guardrails.scanned(_documents(spark, folder)), F.lit("output"))
-    return guardrails.verdicts(acted).where("verdict_text <> text").select("doc_id", "verdict_text")
+    """Documents, chunks and calls with personal data, without it."""
+    acted = guardrails.with_actions(guardrails.scanned(_texts(spark, folder)), F.lit("output"))
+    return guardrails.verdicts(acted).where("verdict_text <> text").select("kind", "id", "verdict_text")
 
 
 def verdict_rates(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +173,7 @@ def gather_sub_queries(spark: SparkSession, folder: str) -> DataFrame:
     golden = table(spark, folder, "v2", "id", "source_citations").distinct().select(F.col("id").alias("question_id"), F.posexplode("source_citations").alias("sub_query", "c"))
     chunks = table(spark, folder, "chunks", "chunk_id", "doc_id", "section_id", "text").dropDuplicates(["chunk_id"]).select("doc_id", "section_id", F.col("chunk_id").alias("doc"), answers.count_tokens("text").alias("tokens"))
     rows = golden.join(chunks, (F.col("c.doc") == F.col("doc_id")) & (F.col("c.section") == F.col("section_id")))
-    ranked = rows.withColumn("rank", F.row_number().over(_by("question_id", "sub_query").orderBy("doc"))).where("rank <= 8")
+    ranked = rows.withColumn("rank", F.row_number().over(_by("question_id", "sub_query").orderBy("doc")))
     return answers.gathered_context(ranked.select("question_id", "sub_query", "rank", "doc", "tokens"), 600).withColumnRenamed("doc", "chunk_id")
 
 
@@ -138,7 +195,8 @@ def sentinels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "guard_pii_counts": pii_counts, "guard_luhn": luhn_candidates, "guard_injection_counts": injection_counts, "guard_base64": base64_runs, "guard_spans": spans,
+    "guard_pii_counts": pii_counts, "guard_luhn": luhn_candidates, "guard_injection_counts": injection_counts, "guard_base64": base64_runs, "guard_spans": spans, "guard_contact_spans": contact_spans, "guard_contact_verdicts": contact_verdicts,
+    "guard_flagged_excerpts": flagged_excerpts, "guard_answers": guarded_answers,
     "guard_policy_verdicts": policy_verdicts, "guard_redacted": redacted_documents, "guard_verdict_rates": verdict_rates, "guard_audit": audit_projection,
     "guard_query_hashes": query_hashes, "guard_forged_tags": forged_tags, "answer_excerpts": excerpts, "answer_context_budget": context_budget,
     "answer_gather": gather_sub_queries, "answer_citations": citations, "answer_cited_excerpts": cited_excerpts, "answer_sentinels": sentinels,
@@ -148,13 +206,13 @@ _CALLS = """
 WITH d AS (SELECT DISTINCT call_id, request.messages AS ms, response.text AS text, response.model AS model, response.usage.input_tokens AS input_tokens FROM canary_defended),
 c AS (SELECT call_id, text, model, input_tokens, array_to_string(list_transform(list_filter(ms, lambda m: m.role = 'user'), lambda m: coalesce(m.content, '')), chr(10)) AS asked FROM d)
 """
-_TAG = r'''<excerpt id=(\d+) source="([^"\n]*)">\n(?:(?s:.*?)\n)?</excerpt>'''
+_TAG = r'''<excerpt id=(\d+) source="([^"\n]*)">\n(?:((?s:.*?))\n)?</excerpt>'''
 #: gs(call_id, text, given): the sources of a request's excerpts, in the first unbroken block of them, numbered from 1.
 _GIVEN = (
     _CALLS
     + f""", b AS (SELECT call_id, text, regexp_extract(asked, '(?m)^(?:{_TAG}\\n?)+') AS block FROM c),
-x AS (SELECT call_id, text, regexp_extract_all(block, '{_TAG}', 1) AS ids, regexp_extract_all(block, '{_TAG}', 2) AS sources FROM b),
-gs AS (SELECT call_id, text, list_filter(sources, lambda s, i: ids[i] = i::VARCHAR) AS given FROM x)
+x AS (SELECT call_id, text, regexp_extract_all(block, '{_TAG}', 1) AS ids, regexp_extract_all(block, '{_TAG}', 2) AS sources, regexp_extract_all(block, '{_TAG}', 3) AS texts FROM b),
+gs AS (SELECT call_id, text, list_filter(sources, lambda s, i: ids[i] = i::VARCHAR) AS given, list_filter(texts, lambda s, i: ids[i] = i::VARCHAR) AS given_texts FROM x)
 """
 )
 _CHUNKS = "WITH k AS (SELECT DISTINCT chunk_id, doc_id, section_id, heading, page_start, char_start, text FROM chunks)\n"
@@ -165,7 +223,79 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _luhn_sql(d: str) -> str:
+    return (
+        f"list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr({d}, len({d}) - i + 1, 1)::INT "
+        f"WHEN substr({d}, len({d}) - i + 1, 1)::INT > 4 THEN substr({d}, len({d}) - i + 1, 1)::INT * 2 - 9 ELSE substr({d}, len({d}) - i + 1, 1)::INT * 2 END)) % 10 = 0"
+    )
+
+
+#: Whether a text holds an entity, by patterns without look-around: what may not stand beside a match is matched as its neighbour.
+_SAME = lambda a, b, c: "(?:" + "|".join(f"{a}{s}{b}{s}{c}" for s in ("-", r"\.", r"\s")) + ")"
+_HOLDS = {
+    "ssn": r"(?:^|[^0-9./-])" + _SAME(r"\d{3}", r"\d{2}", r"\d{4}") + r"(?:$|[^0-9./-])",
+    "ein": PII["ein"],
+    "phone": r"(?:\(\d{3}\)[\s.-]?\d{3}[\s.-]\d{4}|(?:^|[^\d.-])(?:\+?1[\s.-])?" + _SAME(r"\d{3}", r"\d{3}", r"\d{4}") + r")(?:$|[^\d-])",
+    "email": PII["email"].replace("}+", "}"),
+    "ip": PII["ip"],
+}
+
+
+def _holds_sql(entity: str, text: str) -> str:
+    if entity == "credit_card":
+        runs = f"list_transform(regexp_extract_all({text}, {_quoted(PII[entity])}), lambda r: regexp_replace(r, '\\D', '', 'g'))"
+        return f"coalesce(len(list_filter({runs}, lambda d: len(d) BETWEEN 13 AND 19 AND {_luhn_sql('d')})) > 0, false)"
+    if entity in PII:
+        return f"coalesce(regexp_matches({text}, {_quoted(_HOLDS[entity])}), false)"
+    plain = " OR ".join(f"regexp_matches({text}, {_quoted(p)})" for p in INJECTION[entity] if p != guardrails._BASE64)
+    runs = f"regexp_extract_all({text}, {_quoted(guardrails._BASE64)})"
+    encoded = f" OR len(list_filter({runs}, lambda r: regexp_matches(r, '[0-9]') AND regexp_matches(r, '[A-Za-z]') AND len(regexp_replace(r, '[^/]', '', 'g')) <= 2)) > 0"
+    return f"coalesce({plain}{encoded if entity == 'encoded_payload' else ''}, false)"
+
+
+def _named_sql(entities: tuple[str, ...]) -> str:
+    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN {e} THEN '{e}' END" for e in entities) + "], lambda x: x IS NOT NULL))"
+
+
+#: v(call_id, direction, blocking, injected, redacting, flagging): what each text of a call holds, under the default policy.
+_VERDICTS = (
+    _CALLS
+    + """, qs AS (SELECT *, list_filter(string_split(asked, chr(10)), lambda l: starts_with(l, 'Question: ')) AS qs FROM c),
+t AS (SELECT call_id, 'input' AS direction, substr(qs[len(qs)], 11) AS text FROM qs UNION ALL SELECT call_id, 'retrieved', asked FROM qs UNION ALL SELECT call_id, 'output', text FROM qs),
+e AS (SELECT call_id, direction, """
+    + ", ".join(f"{_holds_sql(e, 'text')} AS {e}" for e in (*PII, *INJECTION))
+    + " FROM t), v AS (SELECT call_id, direction, "
+    + f"CASE WHEN direction = 'input' THEN {_named_sql(('ssn', 'ein', 'credit_card'))} ELSE [] END AS blocking, CASE WHEN direction = 'input' THEN {_named_sql(tuple(INJECTION))} ELSE [] END AS injected, "
+    + "CASE direction WHEN 'input' THEN phone OR email WHEN 'output' THEN ssn OR ein OR credit_card OR phone OR email ELSE false END AS redacting, "
+    + f"CASE direction WHEN 'input' THEN ip WHEN 'output' THEN ip OR {' OR '.join(INJECTION)} ELSE {' OR '.join((*PII, *INJECTION))} END AS flagging FROM e)\n"
+)
+#: p(k, one column for each part): the parts of the contact lines.
+_PARTS = "WITH c AS (SELECT c_custkey::BIGINT AS k FROM customer), p AS (SELECT k, " + ", ".join(f"{part} AS {e}" for e, (_, part) in CONTACT.items()) + " FROM c), "
+
+
+def _contact_text(shown: dict[str, str]) -> str:
+    return "concat(" + ", ".join(f"'{before}', {shown.get(e, e)}" for e, (before, _) in CONTACT.items()) + ", '.')"
+
+
+_HIDDEN = {e: f"'[REDACTED:{e.upper()}]'" for e in CONTACT if e not in ("ip", "credit_card")} | {"credit_card": f"CASE WHEN {_luhn_sql('credit_card')} THEN '[REDACTED:CREDIT_CARD]' ELSE credit_card END"}
+_STARTS = {e: " + ".join([f"{sum(len(b) for b, _ in list(CONTACT.values())[: i + 1])}", *[f"len({x})" for x in list(CONTACT)[:i]]]) for i, e in enumerate(CONTACT)}
+
 SQL = {
+    "guard_policy_verdicts": _VERDICTS
+    + """SELECT call_id, direction, len(blocking) + len(injected) > 0 AS blocked, CASE WHEN len(injected) > 0 THEN 'injection' WHEN len(blocking) > 0 THEN 'pii' END AS reason,
+  CASE WHEN len(injected) > 0 THEN 'Blocked by the input guardrail, matching: ' || array_to_string(injected, ', ') WHEN len(blocking) > 0 THEN 'Blocked by the input guardrail, containing: ' || array_to_string(blocking, ', ') END AS refusal FROM v""",
+    "guard_verdict_rates": _VERDICTS
+    + "SELECT direction, count(*) AS texts, count(*) FILTER (len(blocking) + len(injected) > 0) AS blocked, count(*) FILTER (redacting) AS redacted, count(*) FILTER (flagging) AS flagged FROM v GROUP BY 1",
+    "guard_contact_spans": _PARTS
+    + "s AS ("
+    + " UNION ALL ".join(f"SELECT k, 'regex' AS detector, '{e}' AS entity, ({_STARTS[e]})::INT AS start, ({_STARTS[e]} + len({e}))::INT AS \"end\" FROM p" + (f" WHERE {_luhn_sql('credit_card')}" if e == "credit_card" else "") for e in CONTACT)
+    + ") SELECT * FROM s",
+    "guard_contact_verdicts": _PARTS
+    + f"v AS (SELECT k, 'input' AS direction, true AS blocked, 'pii' AS reason, concat('Blocked by the input guardrail, containing: ', CASE WHEN {_luhn_sql('credit_card')} THEN 'credit_card, ' ELSE '' END, 'ein, ssn') AS refusal, {_contact_text({})} AS verdict_text FROM p "
+    + f"UNION ALL SELECT k, 'output', false, NULL, NULL, {_contact_text(_HIDDEN)} FROM p) SELECT * FROM v",
+    "guard_flagged_excerpts": _GIVEN
+    + ", o AS (SELECT DISTINCT call_id, unnest(given_texts) AS text, generate_subscripts(given_texts, 1)::INT AS position FROM gs) SELECT call_id, position FROM o WHERE "
+    + " OR ".join(_holds_sql(e, "text") for e in INJECTION),
     "guard_pii_counts": "SELECT source, count(*) AS documents, "
     + ", ".join(f"coalesce(sum(len(regexp_extract_all(text, {_quoted(PII[e])}))), 0)::BIGINT AS {e}" for e in ("ein", "ip"))
     + " FROM documents GROUP BY 1",

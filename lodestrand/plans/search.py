@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import ACCENTED, PLAIN, snippet, terms
-from lodestrand.operators import ranking_eval, retrieval
+from lodestrand.functions.text import snippet
+from lodestrand.operators import embeddings, ranking_eval, retrieval
+from lodestrand.session import shared_folder
+from lodestrand.sources import vectors
 from lodestrand.sources.tables import table
 
 
@@ -20,8 +24,36 @@ def _docs(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return table(spark, folder, "chunks", "chunk_id", "heading", "text", *more).withColumnRenamed("chunk_id", "doc").dropDuplicates(["doc"])
 
 
-def _bm25(spark: SparkSession, folder: str, k: int = 10, fields: tuple[str, ...] = ("heading", "text")) -> DataFrame:
-    return retrieval.bm25(_queries(spark, folder), _docs(spark, folder), fields, k)
+#: The indexes and vector tables of this application's searches, by application and folder.
+_INDEXES: dict[tuple[str, str], retrieval.Index] = {}
+_VECTORS: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> retrieval.Index:
+    """The chunks' inverted index, written by the first search and read by all others."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.Index.of(_docs(spark, folder))
+    return _INDEXES[key]
+
+
+def _bm25(spark: SparkSession, folder: str, k: int = 10, fields: tuple[str, ...] | None = None) -> DataFrame:
+    return retrieval.bm25(_queries(spark, folder), _index(spark, folder), k, fields)
+
+
+def _vector_table(spark: SparkSession, folder: str) -> str:
+    """The folder of the chunks' vectors, filled by the first search."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _VECTORS:
+        path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+        vectors.embed_missing(_docs(spark, folder), path, embeddings.hashed("heading", "text"), HASHED, embeddings.SIZE)
+        _VECTORS[key] = path
+    return _VECTORS[key]
+
+
+def _dense(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    asked = _queries(spark, folder).select("query_id", embeddings.hashed("query").alias("v"))
+    return retrieval.knn(asked, vectors.read_vectors(spark, _vector_table(spark, folder)), k)
 
 
 def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,23 +67,23 @@ def search_with_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def postings_stats(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _docs(spark, folder)
-    size = retrieval.lengths(docs, ("heading", "text")).agg(F.count("*").alias("docs"), F.sum("length").alias("occurrences"), F.round(F.avg("length"), 6).alias("average_length"))
-    seen = retrieval.occurrences(docs, ("heading", "text")).groupBy("term", "doc").agg(F.count("*").alias("f"))
+    index = _index(spark, folder)
+    size = index.length().agg(F.count("*").alias("docs"), F.sum("length").alias("occurrences"), F.round(F.avg("length"), 6).alias("average_length"))
+    seen = index.postings.groupBy("term", "doc").agg(F.sum(F.size("places")).alias("f"))
     return seen.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.max("f").alias("most")).join(size)
 
 
 def term_idf(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _docs(spark, folder)
-    total = docs.count()
-    seen = docs.select("doc", F.explode(F.array_distinct(F.concat(terms("heading"), terms("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+    index = _index(spark, folder)
+    total = index.lengths.count()
+    seen = index.postings.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("docs"))
     return seen.withColumn("idf", F.round(retrieval.idf(F.col("docs"), total), 9))
 
 
 def phrase_matches(spark: SparkSession, folder: str) -> DataFrame:
     """How many chunks hold each control id that a query names, as a phrase."""
     groups = _queries(spark, folder).select(F.explode(retrieval.query_groups("query")).alias("grp")).where("grp rlike '-'").distinct()
-    counts = retrieval.group_counts(retrieval.occurrences(_docs(spark, folder), ("heading", "text")), groups)
+    counts = retrieval.group_counts(_index(spark, folder).postings, groups)
     return groups.join(counts, "grp", "left").groupBy(F.col("grp").alias("phrase")).agg(F.count("doc").alias("chunks"), F.coalesce(F.sum("f"), F.lit(0)).alias("occurrences"))
 
 
@@ -78,12 +110,26 @@ def knn_label_purity(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rankings(spark: SparkSession, folder: str) -> DataFrame:
     both = _bm25(spark, folder, 50).withColumn("mode", F.lit("bm25"))
-    return both.unionByName(_bm25(spark, folder, 50, ("heading",)).withColumn("mode", F.lit("heading")))
+    return both.select("query_id", "doc", "score", "rank", "mode").unionByName(_dense(spark, folder, 50).withColumn("mode", F.lit("dense")))
+
+
+def search_dense(spark: SparkSession, folder: str) -> DataFrame:
+    return _dense(spark, folder, 10).select("query_id", F.col("doc").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def embed_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The vector table after a second run, which finds nothing missing."""
+    path = _vector_table(spark, folder)
+    again = vectors.embed_missing(_docs(spark, folder), path, embeddings.hashed("heading", "text"), HASHED, embeddings.SIZE)
+    model, size = vectors.manifest(spark, path)
+    rows = vectors.read_vectors(spark, path)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.agg(F.count("*").alias("vectors"), F.count_if(F.abs(norm - 1) < 1e-9).alias("of_length_1")).select(F.lit(model).alias("model"), F.lit(size).alias("dimensions"), F.lit(again).cast("long").alias("added_again"), "vectors", "of_length_1")
 
 
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     fused = retrieval.rrf(_rankings(spark, folder))
-    return fused.select("query_id", F.col("doc").alias("chunk_id"), "rank", F.round("score", 9).alias("score"), F.round(F.try_element_at("sources", F.lit("bm25")), 6).alias("bm25"), F.round(F.try_element_at("sources", F.lit("heading")), 6).alias("heading"))
+    return fused.select("query_id", F.col("doc").alias("chunk_id"), "rank", F.round("score", 9).alias("score"), F.round(F.try_element_at("sources", F.lit("bm25")), 6).alias("bm25"), F.round(F.try_element_at("sources", F.lit("dense")), 6).alias("dense"))
 
 
 def rerank_noop(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +145,7 @@ def rerank_listwise(spark: SparkSession, folder: str) -> DataFrame:
 
 def rerank_by_length(spark: SparkSession, folder: str) -> DataFrame:
     """Another score over the same pool: here the chunk's number of terms."""
-    size = retrieval.lengths(_docs(spark, folder), ("heading", "text"))
+    size = _index(spark, folder).length()
     return retrieval.rerank_by(_bm25(spark, folder, 30).join(size, "doc"), "length", 8).select("query_id", F.col("doc").alias("chunk_id"), "was", "rank", "length")
 
 
@@ -126,18 +172,19 @@ def eval_macro(spark: SparkSession, folder: str) -> DataFrame:
 def eval_rerank_paired(spark: SparkSession, folder: str) -> DataFrame:
     """Baseline and reranked over the identical pool."""
     pool = _bm25(spark, folder, 30)
-    size = retrieval.lengths(_docs(spark, folder), ("heading", "text"))
+    size = _index(spark, folder).length()
     again = retrieval.rerank_by(pool.join(size, "doc"), "length", 10).select("query_id", "doc", "score", "rank")
     first = _metrics(spark, folder, pool.where("rank <= 10")).withColumn("ranking", F.lit("bm25"))
     return ranking_eval.macro(first.unionByName(_metrics(spark, folder, again).withColumn("ranking", F.lit("bm25+length"))), "ranking")
 
 
-_FOLD = f"translate(lower({{}}), '{ACCENTED}', '{PLAIN}')"
+HASHED = "hashed-terms-md5"
+_FOLD = "strip_accents(lower({}))"
 
 
 def _bm25_sql(fields: tuple[str, ...], name: str, k: int) -> str:
     """CTEs that end in {name}(query_id, doc, score, rank)."""
-    tokens = ", ".join(f"coalesce(regexp_extract_all({_FOLD.format(f)}, '[a-z0-9]+'), []) AS t{i}" for i, f in enumerate(fields))
+    tokens = ", ".join(f"coalesce(regexp_extract_all({_FOLD.format(f)}, '[\\p{{L}}\\p{{N}}]+'), []) AS t{i}" for i, f in enumerate(fields))
     occ = " UNION ALL ".join(f"SELECT doc, {i} AS field, unnest(t{i}) AS term, generate_subscripts(t{i}, 1) AS at FROM {name}_t" for i in range(len(fields)))
     return f"""
 {name}_t AS (SELECT doc, {tokens} FROM d), {name}_o AS ({occ}),
@@ -156,7 +203,7 @@ def _bm25_sql(fields: tuple[str, ...], name: str, k: int) -> str:
 
 _BASE = """
 WITH q AS (SELECT DISTINCT id AS query_id, question AS query FROM v2 WHERE regexp_extract(id, '(\\d+)$', 1)::BIGINT % 50 = 0),
-asked AS (SELECT query_id, grp, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(FOLDQ, '[a-z0-9]+(?:-[a-z0-9]+)*')) AS grp FROM q) GROUP BY ALL),
+asked AS (SELECT query_id, grp, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(FOLDQ, '[\\p{L}\\p{N}]+(?:-[\\p{L}\\p{N}]+)*')) AS grp FROM q) GROUP BY ALL),
 d AS (SELECT DISTINCT chunk_id AS doc, heading, text FROM chunks),
 g AS (SELECT DISTINCT id AS query_id, source_citations AS citations FROM v2 WHERE regexp_extract(id, '(\\d+)$', 1)::BIGINT % 50 = 0 AND type <> 'unanswerable')
 """.replace("FOLDQ", _FOLD.format("query"))
@@ -187,9 +234,24 @@ _MACRO = "count(*) AS queries, " + ", ".join(f"round(avg({n}), 9) AS {n}" for n
 
 QUERIES = {
     f.__name__: f
-    for f in (search_bm25, search_with_text, postings_stats, term_idf, phrase_matches, knn_cosine, knn_inner_product, knn_label_purity, hybrid_rrf, rerank_noop, rerank_listwise, rerank_by_length, eval_per_query, eval_macro, eval_rerank_paired)
+    for f in (search_bm25, search_dense, embed_manifest, search_with_text, postings_stats, term_idf, phrase_matches, knn_cosine, knn_inner_product, knn_label_purity, hybrid_rrf, rerank_noop, rerank_listwise, rerank_by_length, eval_per_query, eval_macro, eval_rerank_paired)
 }
 
+#: CTEs that end in e(query_id, doc, score, rank): cosine of hashed terms, from the terms b_o of _bm25_sql.
+_DENSE = r""", qo AS (SELECT query_id, unnest(regexp_extract_all(strip_accents(lower(query)), '[\p{L}\p{N}]+')) AS term FROM q),
+ev AS (SELECT doc, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS j, sum(CASE WHEN substr(md5(term), 5, 1) < '8' THEN 1 ELSE -1 END) AS x FROM b_o GROUP BY ALL),
+eq AS (SELECT query_id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS j, sum(CASE WHEN substr(md5(term), 5, 1) < '8' THEN 1 ELSE -1 END) AS x FROM qo GROUP BY ALL),
+en AS (SELECT doc, sqrt(sum(x * x)) AS n FROM ev GROUP BY 1), em AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM eq GROUP BY 1),
+ep AS (SELECT query_id, doc, sum(a.x * b.x) AS p FROM eq a JOIN ev b USING (j) GROUP BY ALL),
+es AS (SELECT query_id, doc, round(p / (em.n * en.n), 9) AS score FROM ep JOIN en USING (doc) JOIN em USING (query_id)),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc)::INT AS rank FROM es QUALIFY rank <= {})
+"""
+
+
+def _dense_sql(k: int) -> str:
+    return _DENSE.replace("rank <= {}", f"rank <= {k}")
+
+
 _KNN = """
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc, round({}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc)::INT AS rank FROM s)
@@ -213,11 +275,13 @@ SQL = {
     "knn_label_purity": _KNN.format(_COSINE)
     + "SELECT a.label AS own, count(*) AS neighbours, round(avg((a.label = b.label)::INT), 9) AS share FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc WHERE rank <= 11 AND doc <> query_id GROUP BY 1",
     "hybrid_rrf": _BASE
-    + "," + _bm25_sql(_BOTH, "b", 50) + "," + _bm25_sql(_HEAD, "e", 50)
-    + """, u AS (SELECT *, 'bm25' AS mode FROM b UNION ALL SELECT *, 'heading' FROM e),
-f AS (SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, max(score) FILTER (mode = 'bm25') AS bm25, max(score) FILTER (mode = 'heading') AS heading FROM u GROUP BY ALL),
+    + "," + _bm25_sql(_BOTH, "b", 50) + _dense_sql(50)
+    + """, u AS (SELECT *, 'bm25' AS mode FROM b UNION ALL SELECT *, 'dense' FROM e),
+f AS (SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, max(score) FILTER (mode = 'bm25') AS bm25, max(score) FILTER (mode = 'dense') AS dense FROM u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc)::INT AS rank FROM f QUALIFY rank <= 10)
-SELECT query_id, doc AS chunk_id, rank, round(score, 9) AS score, round(bm25, 6) AS bm25, round(heading, 6) AS heading FROM r""",
+SELECT query_id, doc AS chunk_id, rank, round(score, 9) AS score, round(bm25, 6) AS bm25, round(dense, 6) AS dense FROM r""",
+    "search_dense": _BASE + "," + _bm25_sql(_BOTH, "b", 1) + _dense_sql(10) + " SELECT query_id, doc AS chunk_id, rank, round(score, 6) AS score FROM e",
+    "embed_manifest": _BASE + "," + _bm25_sql(_BOTH, "b", 1) + _dense_sql(1) + " SELECT 'hashed-terms-md5' AS model, 64 AS dimensions, 0::BIGINT AS added_again, (SELECT count(*) FROM d) AS vectors, count(*) FILTER (n > 0) AS of_length_1 FROM en",
     "rerank_noop": _BASE + "," + _bm25_sql(_BOTH, "b", 8) + " SELECT query_id, doc AS chunk_id, rank FROM b",
     "rerank_listwise": _BASE
     + "," + _bm25_sql(_BOTH, "b", 30) + "," + _bm25_sql(_HEAD, "e", 10)

@@ -21,20 +21,26 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return streams.stream(spark, folder if one_file else f"{folder}/{name}.parquet", now.schema, f"{name}.parquet" if one_file else "*.parquet")
 
 
-def _run(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """The complete result of a streaming aggregation over all that is there."""
+def _run(df: DataFrame, spark: SparkSession, *keys: str) -> DataFrame:
+    """The result of a streaming aggregation over all that is there: each key's row in the last batch that changed it.
+
+    In update mode a batch passes on what changed, and the watermark drops the state of days that are final.
+    """
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")  # the same folder if the batch runs again
 
-    streams.drained(df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start())
-    return spark.read.parquet(f"{path}/out")
+    streams.drained(df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start())
+    rows = spark.read.parquet(f"{path}/out")
+    rest = [c for c in df.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *[F.col("last").getField(c).alias(c) for c in rest])
 
 
 def stream_daily_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = _stream(spark, folder, "metrics").select("ts", F.lower(F.trim("provider")).alias("provider"))
-    return _run(streams.daily_counts(rows, "ts", "7 days", "provider"), spark)
+    return _run(streams.daily_counts(rows, "ts", "70 days", "provider"), spark, "day", "provider")
 
 
 def stream_upsert_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +53,7 @@ def stream_upsert_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
     rows = _stream(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _run(streams.rate_limited(rows, "user_id", window="1 day", limit=3, late="30 days"), spark)
+    return _run(streams.rate_limited(rows, "user_id", window="1 day", limit=3, late="400 days"), spark, "user_id", "window_start")
 
 
 def stream_audit_log(spark: SparkSession, folder: str) -> DataFrame:

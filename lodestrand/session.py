@@ -93,11 +93,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Remove the table behind a scan made by `cut_lineage` that nothing reads any more."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lodestrand-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, name)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder on any of Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder on any of Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def gathered(df: DataFrame, most_rows: int) -> list | None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
+from lodestrand.session import exists
+
 CHUNK = "chunk_id string, doc_id string, section_id string, section_ids array<string>, section_path string, heading string, page_start int, page_end int, char_start int, char_end int, token_count int, content_type string, text string"
 GOLDEN = "id string, question string, reference_answer string, source_citations array<struct<doc:string,section:string>>, difficulty string, type string, held_out boolean"
 LABEL = "example_id string, labeler string, faithfulness int, relevance int, citation_accuracy int, notes string"
@@ -55,23 +59,15 @@ def write_audit(audit: DataFrame, folder: str) -> None:
     audit.select(F.lit("audit_v1").alias("schema"), "*", F.date_format("ts", "yyyyMMdd").alias("day")).write.mode("append").partitionBy("day").json(folder)
 
 
-def write_postings(occurrences: DataFrame, name: str, buckets: int = 64) -> None:
-    """The inverted index, bucketed by term: a query's terms are joined to it without shuffling it."""
-    postings = occurrences.groupBy("term", "doc", "field").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term", "doc").saveAsTable(name)
+def append_missing(rows: DataFrame, folder: str, key: str, then: Callable[[DataFrame], DataFrame] = lambda x: x, anew: bool = False) -> int:
+    """Appends the rows whose key the table does not hold yet and tells how many; a run can be resumed.
 
-
-def append_missing(rows: DataFrame, folder: str, key: str) -> int:
-    """Appends the rows whose key the table does not hold yet and tells how many; a run can be resumed."""
+    `then` works on the missing rows only. The rows are worked out once and counted as they are written.
+    """
     spark = rows.sparkSession
-    try:
-        held = spark.read.parquet(folder).select(key).distinct()
-        fresh = rows.join(held, key, "left_anti")
-    except Exception as error:  # the table does not exist before the first run
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = rows
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(folder)
-    return n
+    fresh = rows
+    if not anew and exists(spark, folder):
+        fresh = rows.join(spark.read.parquet(folder).select(key).distinct(), key, "left_anti")
+    seen = Observation()
+    then(fresh).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if anew else "append").parquet(folder)
+    return seen.get["n"]

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lodestrand.operators import guardrails, ledger
+from lodestrand.session import exists, remove
 
 
 def stream(spark: SparkSession, folder: str, schema: StructType, names: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -29,6 +30,7 @@ def upsert(rows: DataFrame, folder: str, checkpoint: str, key: tuple[str, ...] =
     """Keeps a table of last writes: each batch replaces only the partitions whose keys it touches.
 
     A batch that runs again after a failure gives the same table, as the last write wins either way.
+    `buckets` should grow with the table, so that a partition stays within a task's reach.
     """
     spark = rows.sparkSession
 
@@ -37,17 +39,14 @@ def upsert(rows: DataFrame, folder: str, checkpoint: str, key: tuple[str, ...] =
         touched = [r.part for r in new.select("part").distinct().collect()]  # at most `buckets` numbers
         if not touched:
             return
-        try:
-            old = spark.read.parquet(folder).where(F.col("part").isin(touched)).select(*new.columns)
-            new = new.unionByName(old)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        if exists(spark, folder):  # the first batch finds no table
+            new = new.unionByName(spark.read.parquet(folder).where(F.col("part").isin(touched)).select(*new.columns))
         merged = ledger.latest(new, key, order).select(*new.columns)
         # Written beside the table first: the partitions read are the ones replaced.
         staged = f"{folder}.staged-{number}"
         merged.write.mode("overwrite").parquet(staged)
         spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+        remove(spark, staged)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
