@@ -45,3 +45,8 @@ def snippet(text: Column | str, length: int = 300) -> Column:
 def one_line(text: Column | str, length: int = 200) -> Column:
     """White space collapsed, cut to `length` characters."""
     return F.substring(F.regexp_replace(text, r"\s+", " "), 1, length)
+
+
+def slug(text: Column | str) -> Column:
+    """Terms joined by dashes."""
+    return F.array_join(terms(text), "-")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import corpus, guard, ledger, replies, search, streaming
+from lodestrand.plans import corpus, guard, ledger, replies, scans, search, streaming
 
-AREAS = (ledger, search, guard, replies, corpus, streaming)
+AREAS = (ledger, search, guard, replies, corpus, scans, streaming)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

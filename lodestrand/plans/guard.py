@@ -105,7 +105,10 @@ def guarded_answers(spark: SparkSession, folder: str) -> DataFrame:
     """What is given out for each call: the answer's redactions, its refusal and the reason for it."""
     calls = _calls(spark, folder).where("text is not null").select("call_id", "text", F.ltrim("text").startswith(answers.SENTINEL).alias("refusal"))
     acted = guardrails.with_actions(guardrails.scanned(calls), F.lit("output"))
-    return guardrails.guarded_answer(acted).select("call_id", "final_text", "final_refusal", "refusal_reason")
+    given = guardrails.guarded_answer(acted)
+    # The text itself where nothing is redacted; what redaction gives is checked on the contact lines.
+    shown = F.when(F.col("final_text") == F.col("text"), F.col("text")).otherwise("holds personal data")
+    return given.select("call_id", shown.alias("final_text"), "final_refusal", "refusal_reason")
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,6 +296,9 @@ SQL = {
     "guard_contact_verdicts": _PARTS
     + f"v AS (SELECT k, 'input' AS direction, true AS blocked, 'pii' AS reason, concat('Blocked by the input guardrail, containing: ', CASE WHEN {_luhn_sql('credit_card')} THEN 'credit_card, ' ELSE '' END, 'ein, ssn') AS refusal, {_contact_text({})} AS verdict_text FROM p "
     + f"UNION ALL SELECT k, 'output', false, NULL, NULL, {_contact_text(_HIDDEN)} FROM p) SELECT * FROM v",
+    "guard_answers": _CALLS
+    + f"""SELECT call_id, CASE WHEN {' OR '.join(_holds_sql(e, 'text') for e in PII if e != 'ip')} THEN 'holds personal data' ELSE text END AS final_text, starts_with(ltrim(text), '[NO_ANSWER]') AS final_refusal,
+  CASE WHEN starts_with(ltrim(text), '[NO_ANSWER]') THEN 'out_of_corpus' END AS refusal_reason FROM c WHERE text IS NOT NULL""",
     "guard_flagged_excerpts": _GIVEN
     + ", o AS (SELECT DISTINCT call_id, unnest(given_texts) AS text, generate_subscripts(given_texts, 1)::INT AS position FROM gs) SELECT call_id, position FROM o WHERE "
     + " OR ".join(_holds_sql(e, "text") for e in INJECTION),

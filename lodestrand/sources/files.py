@@ -37,7 +37,7 @@ def golden(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
-def result_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def result_rows(spark: SparkSession, folder: str | list[str], schema: str) -> DataFrame:
     """Rows of all result files of a folder but rejudged ones."""
     rows = json_lines(spark, folder, schema).withColumn("_file", F.input_file_name())
     return rows.where(~F.col("_file").contains(".rejudge")).drop("_file")
