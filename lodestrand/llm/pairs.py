@@ -47,9 +47,9 @@ from lodestrand.llm.crf import Crf
 from lodestrand.session import cut_lineage, spread
 
 #: Most pairs the field is fitted on, and the share of them that is drawn from those with an apology or inability.
-SAMPLE, SUSPECT = 4000, 0.25
+SAMPLE, SUSPECT = 4000, 0.08
 #: Buckets of the field's words, and of the words counted by language; tables of these sizes go to the tasks.
-HASHED, SPOKEN = 1 << 13, 1 << 16
+HASHED, SPOKEN = 1 << 15, 1 << 16
 #: How strongly the field's weights are drawn to 0, for the shape of a clause and for its words.
 SHAPE_DECAY, WORD_DECAY = 1e-4, 2e-4
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -346,6 +346,8 @@ def training(pairs: list[tuple[str, Pair]], openings: dict, usual: float, tongue
         if kind < 0.5:
             if len(words(pair.response)) > 6 or own not in (None, "en"):
                 short = cut(pair.response, 0.15 + 0.8 * at)
+                if at < 0.1 and "," in pair.response:
+                    short = pair.response[: pair.response.rindex(",") + 1]
                 parts = clauses(short)
                 if parts and short != pair.response.rstrip() and not ended(short):
                     few = len(words(parts[-1])) <= 6 and len(parts) == 1
