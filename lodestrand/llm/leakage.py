@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from lodestrand.session import cut_lineage, spread
 
 GRAM, RUN = 6, 12
+#: Words in a row that an edited copy has to share to be aligned.
+EDITED_GRAM = 4
 #: N-grams of items that one scan of the corpus looks for.
 MOST_GRAMS = 2_000_000
 #: Share of the documents, and number of them in any case, up to which every n-gram of an item seeds edited copies.
@@ -110,7 +112,7 @@ class _Vocabulary:
         return starts[good], keys[good]
 
 
-REGIONS = "doc string, first int, words array<string>, positions array<int>, grams array<long>"
+REGIONS = "doc string, first int, words array<string>, grams array<long>"
 
 
 def _regions(vocabulary: _Vocabulary, n: int, margin: int):
@@ -127,8 +129,8 @@ def _regions(vocabulary: _Vocabulary, n: int, margin: int):
                 breaks = np.flatnonzero(np.diff(at) > 2 * margin) + 1
                 for where, grams in zip(np.split(at, breaks), np.split(keys, breaks), strict=True):
                     first = max(0, int(where[0]) - margin)
-                    rows.append((doc, first, words[first : int(where[-1]) + n + margin], (where - first).tolist(), grams.tolist()))
-            yield pd.DataFrame(rows, columns=["doc", "first", "words", "positions", "grams"])
+                    rows.append((doc, first, words[first : int(where[-1]) + n + margin], grams.tolist()))
+            yield pd.DataFrame(rows, columns=["doc", "first", "words", "grams"])
 
     return run
 
@@ -174,17 +176,30 @@ def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
     return best, spans, longest
 
 
+def _possible(least: float):
+    """The pairs whose common words can make up `least` of a full score: no alignment matches more words than both have in common."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known: dict[str, Counter] = {}
+            keep = []
+            for item, words, own in zip(batch["item"], batch["words"], batch["own"], strict=True):
+                if item not in known:
+                    known[item] = Counter(own)
+                keep.append((known[item] & Counter(words)).total() >= least * len(own))
+            yield batch[keep]
+
+    return run
+
+
 def _aligned(least: float):
-    """Alignments of each region and item; those whose common words can't make up `least` of a full score are left out."""
+    """Alignments of each region and item that reach `least` of a full score."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, item, words, own in zip(batch["doc"], batch["item"], batch["words"], batch["own"], strict=True):
                 own, words = list(own), list(words)
-                # No alignment matches more words than both have in common.
-                if least and (Counter(own) & Counter(words)).total() < least * len(own):
-                    continue
                 score, span, longest = align(own, words)
                 if score >= least * MATCH * len(own):
                     rows.append((doc, item, score, span, longest, len(own)))
@@ -229,6 +244,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
     region = F.xxhash64("doc", "first", "words", "block").alias("region")
     found = regions.select("doc", region, "block", F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, ["block", "gram"]).select("doc", "region", "item").distinct()
     pairs = found.join(regions.select("doc", region, "words").distinct(), ["doc", "region"]).join(held.select("item", F.col("words").alias("own")), "item")
+    pairs = pairs.select("doc", "item", "words", "own")
+    if least:
+        pairs = pairs.mapInPandas(_possible(least), pairs.schema)
     # An alignment takes far longer than its bytes tell.
     best = spread(pairs).mapInPandas(_aligned(least), "doc string, item string, score int, span int, run int, words int")
     return best.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max_by("span", F.struct("score", "span")).alias("span"), F.max("run").alias("run"), F.max("words").alias("words"))

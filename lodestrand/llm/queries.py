@@ -115,7 +115,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Copies, edited and paraphrased too: alignments that reach half of what a full copy would score."""
-    found = leakage.leaks(*_leak_tables(spark, folder), every=leakage.EVERY, least=0.5)
+    found = leakage.leaks(*_leak_tables(spark, folder), gram=leakage.EDITED_GRAM, every=leakage.EVERY, least=0.5)
     return found.select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "score", "span", "run", "words")
 
 
