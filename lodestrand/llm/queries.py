@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm import consensus, leakage, multiselect, packing, pairs, repeated_lines, splitting, truncation
@@ -78,6 +78,19 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(_chunk_texts(spark, folder))
 
 
+def p4_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each oversized chunk: the tokens of its pieces less their overlaps, which are those of its text, and its pieces' bounds."""
+    pieces = p4_pieces(spark, folder)
+    before = F.lag("char_end").over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    shared = F.coalesce(F.greatest(before - F.col("char_start"), F.lit(0)), F.lit(0))
+    told = pieces.withColumn("shared", shared).withColumns({
+        "new": splitting.token_count(F.substr("text", F.col("shared") + 1)),
+        "again": F.when(F.col("piece_no") > 0, splitting.token_count(F.substr("text", F.lit(1), F.col("shared")))),
+    })
+    within = F.bool_and((F.col("token_count") <= splitting.LIMIT) & (splitting.token_count(F.col("text")) == F.col("token_count")))
+    return told.groupBy("chunk_id").agg(F.sum("new").alias("tokens"), F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), within.alias("within"), F.min("again").alias("least_overlap"), F.max("again").alias("most_overlap"))
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.pairs_of(table(spark, folder, "v2"), table(spark, folder, "canary_defended"))
 
@@ -99,6 +112,13 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return _containers(spark, folder)
 
 
+def p6_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document: the characters in containers, and whether these keep their capacity and split no text that fits."""
+    rows = _containers(spark, folder)
+    whole = (F.count("*") == 1) | (F.sum("n_tokens") > packing.CAPACITY)
+    return rows.groupBy("doc_id").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("characters"), F.bool_and(F.col("container_tokens") <= packing.CAPACITY).alias("within"), whole.alias("whole"))
+
+
 def p6_container_texts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents", "doc_id", "text")
     return packing.container_texts(documents, packing.containers(documents))
@@ -192,6 +212,11 @@ P4_FOUND_SQL = r"""
 SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 768 AND len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\p{C}]')) > 768
 """
 
+P4_COVER_SQL = r"""
+WITH k AS (SELECT DISTINCT chunk_id, text, coalesce(char_start, 0) AS char_start, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\p{C}]')) AS tokens FROM chunks WHERE length(text) > 768)
+SELECT chunk_id, tokens, char_start AS first_start, char_start + length(text) AS last_end, true AS within, 64 AS least_overlap, 64 AS most_overlap FROM k WHERE tokens > 768
+"""
+
 #: Runs of 12 words in common; signs that show nothing are taken out as the operator's words are.
 P7_FOUND_SQL = r"""
 WITH n AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM testitems),
@@ -213,9 +238,11 @@ QUERIES: dict[str, Query] = {
     "p3_combined_percentiles": p3_combined_percentiles,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_cover": p4_cover,
     "p5_found": p5_found,
     "p5_clause_coverage": p5_clause_coverage,
     "p6_containers": p6_containers,
+    "p6_cover": p6_cover,
     "p6_container_texts": p6_container_texts,
     "p7_found": p7_found,
     "p7_alignments": p7_alignments,
@@ -231,6 +258,8 @@ SQL = {
     "p3_daily_summaries": P3_DAILY_SQL,
     "p3_combined_percentiles": P3_COMBINED_SQL,
     "p4_found": P4_FOUND_SQL,
+    "p4_cover": P4_COVER_SQL,
+    "p6_cover": "SELECT doc_id, length(text) AS characters, true AS within, true AS whole FROM documents WHERE text IS NOT NULL",
     "p7_found": P7_FOUND_SQL,
 }
 
