@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.session import cut_lineage, drop_cut, gathered
@@ -79,18 +79,12 @@ def _with_weights(rows: DataFrame, weights: DataFrame, most: int) -> tuple[DataF
         few.sort(key=lambda x: x.r)
         return rows.withColumn("w", F.lit(None).cast("array<double>")), (np.array([x.r for x in few], np.int64), np.array([x.w for x in few], float))
     long = rows.select("item", "part", "many", F.explode(F.arrays_zip("r", F.sequence(F.lit(0), F.size("r") - 1).alias("i"))).alias("v"), F.col("s"))
-    wide = F.size("s") / F.count("*").over(_window("item", "part"))
+    wide = F.size("s") / F.count("*").over(Window.partitionBy("item", "part"))
     long = long.withColumn("d", wide.cast("int")).select("item", "part", "many", F.col("v.r").alias("r"), F.expr("slice(s, v.i * d + 1, d)").alias("s"))
     again = long.join(weights.select("r", "w"), "r").groupBy("item", "part", "many").agg(F.collect_list(F.struct("r", "s", "w")).alias("v"))
     return again.select("item", "part", "many", F.col("v.r").alias("r"), F.flatten("v.s").alias("s"), F.flatten("v.w").alias("w")), None
 
 
-def _window(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 def _flat(batch: pd.DataFrame, weights: tuple[np.ndarray, np.ndarray] | None, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all votes of a batch: row, rater, scores and weights, which are 0 where there is no score."""
     at = np.repeat(np.arange(len(batch)), batch["r"].map(len).to_numpy())

@@ -176,6 +176,31 @@ def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
     return best, spans, longest
 
 
+def scores(owns: list[np.ndarray], regions: list[np.ndarray], at_once: int = 128) -> np.ndarray:
+    """The Smith-Waterman scores of many pairs of word codes (0 and above), rows of the matrices of `at_once` pairs at a time.
+
+    Pairs of like sizes are taken together and padded with codes that match nothing, which
+    raises no score.
+    """
+    out = np.zeros(len(owns), np.int32)
+    order = sorted(range(len(owns)), key=lambda k: (len(owns[k]), len(regions[k])))
+    for first in range(0, len(order), at_once):
+        taken = order[first : first + at_once]
+        rows, columns = max(len(owns[k]) for k in taken), max(len(regions[k]) for k in taken)
+        x, y = np.full((len(taken), rows), -2, np.int32), np.full((len(taken), columns), -1, np.int32)
+        for at, k in enumerate(taken):
+            x[at, : len(owns[k])], y[at, : len(regions[k])] = owns[k], regions[k]
+        steps = np.arange(1, columns + 1, dtype=np.int32) * -GAP
+        above, best = np.zeros((len(taken), columns + 1), np.int32), np.zeros(len(taken), np.int32)
+        for i in range(rows):
+            diagonal = above[:, :-1] + np.where(y == x[:, i : i + 1], MATCH, MISMATCH)
+            free = np.maximum(np.maximum(diagonal, above[:, 1:] + GAP), 0)
+            above[:, 1:] = np.maximum.accumulate(free + steps, axis=1) - steps
+            best = np.maximum(best, above.max(axis=1))
+        out[taken] = best
+    return out
+
+
 def _possible(least: float):
     """The pairs whose common words can make up `least` of a full score: no alignment matches more words than both have in common."""
 
@@ -193,16 +218,18 @@ def _possible(least: float):
 
 
 def _aligned(least: float):
-    """Alignments of each region and item that reach `least` of a full score."""
+    """Alignments of each region and item that reach `least` of a full score: the scores are worked out for many pairs at once first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if least and len(batch):
+                code: dict[str, int] = {}
+                coded = [[np.array([code.setdefault(w, len(code)) for w in words], np.int32) for words in batch[c]] for c in ("own", "words")]
+                batch = batch[scores(*coded) >= least * MATCH * batch["own"].map(len).to_numpy()]
             rows = []
             for doc, item, words, own in zip(batch["doc"], batch["item"], batch["words"], batch["own"], strict=True):
-                own, words = list(own), list(words)
-                score, span, longest = align(own, words)
-                if score >= least * MATCH * len(own):
-                    rows.append((doc, item, score, span, longest, len(own)))
+                score, span, longest = align(list(own), list(words))
+                rows.append((doc, item, score, span, longest, len(own)))
             yield pd.DataFrame(rows, columns=["doc", "item", "score", "span", "run", "words"])
 
     return run

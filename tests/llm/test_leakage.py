@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 
 from lodestrand.llm import leakage as L
@@ -31,6 +32,13 @@ def test_alignment_by_definition():
     assert L.align(list("abcde"), list("xxabxcdexx"))[:2] == (9, 5)
 
 
+def test_scores_of_many_pairs():
+    rnd = random.Random(1)
+    pairs = [[np.array([rnd.randint(0, 3) for _ in range(rnd.randint(1, n))], np.int32) for n in (12, 25)] for _ in range(90)]
+    got = L.scores(*map(list, zip(*pairs, strict=True)), at_once=16)
+    assert got.tolist() == [smith_waterman(a.tolist(), b.tolist()) for a, b in pairs] and L.scores([], []).tolist() == []
+
+
 def test_words():
     text = "Wax cyl­inders​ reached L’ÉCOLE, Straße ﬁve_x"
     assert L.normal_words(text) == L.normal_words(unicodedata.normalize("NFD", text).upper()) == "wax cylinders reached l école strasse five x".split()
