@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.operators import answers, guardrails
@@ -161,22 +161,16 @@ def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Each section's chunks in order, cut at 512 tokens: the first always stays."""
     chunks = table(spark, folder, "chunks", "chunk_id", "doc_id", "section_id", "char_start", "text").dropDuplicates(["chunk_id"])
     rows = chunks.select(F.concat_ws("/", "doc_id", "section_id").alias("query_id"), F.col("chunk_id").alias("doc"), "char_start", answers.count_tokens("text").alias("tokens"))
-    order = F.row_number().over(_by("query_id").orderBy("char_start", "doc"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("char_start", "doc"))
     return answers.budgeted(rows.withColumn("rank", order), "tokens", 512).select("query_id", F.col("doc").alias("chunk_id"), "rank", "tokens", "tokens_upto")
 
 
-def _by(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 def gather_sub_queries(spark: SparkSession, folder: str) -> DataFrame:
     """Golden questions' cited sections as sub-queries, their chunks merged under a shared budget."""
     golden = table(spark, folder, "v2", "id", "source_citations").distinct().select(F.col("id").alias("question_id"), F.posexplode("source_citations").alias("sub_query", "c"))
     chunks = table(spark, folder, "chunks", "chunk_id", "doc_id", "section_id", "text").dropDuplicates(["chunk_id"]).select("doc_id", "section_id", F.col("chunk_id").alias("doc"), answers.count_tokens("text").alias("tokens"))
     rows = golden.join(chunks, (F.col("c.doc") == F.col("doc_id")) & (F.col("c.section") == F.col("section_id")))
-    ranked = rows.withColumn("rank", F.row_number().over(_by("question_id", "sub_query").orderBy("doc")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "sub_query").orderBy("doc")))
     return answers.gathered_context(ranked.select("question_id", "sub_query", "rank", "doc", "tokens"), 600).withColumnRenamed("doc", "chunk_id")
 
 

@@ -62,8 +62,9 @@ def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_with_text(spark: SparkSession, folder: str) -> DataFrame:
     """Ids are ranked first; text joins only the ranked few."""
-    shown = _docs(spark, folder).select("doc", snippet("heading", 60).alias("heading"), snippet("text").alias("snippet"))
-    return _bm25(spark, folder, 3).join(shown, "doc").select("query_id", F.col("doc").alias("chunk_id"), "rank", "heading", "snippet")
+    texts = table(spark, folder, "chunks", "chunk_id", "heading", "text")
+    found = texts.join(_bm25(spark, folder, 3).withColumnRenamed("doc", "chunk_id"), "chunk_id").select("query_id", "chunk_id", "rank", snippet("heading", 60).alias("heading"), snippet("text").alias("snippet"))
+    return found.dropDuplicates(["query_id", "chunk_id"])
 
 
 def postings_stats(spark: SparkSession, folder: str) -> DataFrame:
