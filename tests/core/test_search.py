@@ -98,3 +98,12 @@ def test_seeded_directions(spark):
     want = [rnd.gauss(0, 1) for _ in range(64)]
     norm = sum(x * x for x in want) ** 0.5
     assert got[0].v == got[1].v == pytest.approx([x / norm for x in want]) and sum(x * x for x in got[2].v) == pytest.approx(1)
+
+
+def test_scores_joined_and_as_products_are_the_same(spark, monkeypatch):
+    index = retrieval.Index.of(spark.createDataFrame(DOCS, "doc string, heading string, text string"))
+    queries = spark.createDataFrame(QUERIES, "query_id string, query string")
+    found = lambda: [tuple(r) for r in retrieval.bm25(queries, index, 3).orderBy("query_id", "rank").collect()]
+    products = found()
+    monkeypatch.setattr(retrieval, "FEW_ASKED", 0)
+    assert found() == products and len(products) > 5
