@@ -11,9 +11,10 @@ of the pair's id) with labels from several sources:
 
 * planted defects, whose tags are known: sound responses cut at any place, put to questions in
   another language, or replaced by their question;
-* for refusals, which can't be planted, four noisy sources of which one suffices: an apology
+* for refusals, which can't be planted, five noisy sources of which one suffices: an apology
   before the clause, a speaker who says that they can't or won't, an opening that mostly answers
-  questions known to be unanswerable, an opening that elsewhere stands behind an apology. Every
+  questions known to be unanswerable, an opening that elsewhere stands behind an apology, and,
+  behind a clause taken for a refusal, an opening that often stands there. Every
   refusal is also taken without its apology, so that the field learns the rest of its words;
 * all other clauses count as answers. Pairs that may be defective in a way no source settles
   (another language than the question's, an end without a stop that is no known phrase) are
